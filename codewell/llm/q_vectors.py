@@ -1,2 +1,36 @@
-QUERIES: dict = {}
+"""Problem 5: the most similar pictures of every picture."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codewell.llm.neighbours import nearest_neighbours
+from codewell.llm.vectors import one_per_item, pack_usable
+from codewell.runtime import table
+
+#: Bins of a picture's histogram, and the similarity from which pictures are alike.
+DIM, ALIKE = 1000, 0.7
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, packed)`` of each file with a usable histogram in either table."""
+    return one_per_item(
+        pack_usable(table(spark, sf_dir, "fashion_images"), "nombre_archivo", "histograma_visual", DIM),
+        pack_usable(table(spark, sf_dir, "vectores_fashion"), "nombre_archivo", "histograma", DIM),
+    )
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other pictures of every picture."""
+    return nearest_neighbours(pictures(spark, sf_dir), DIM)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in which one is among the five most similar of the other, from a cosine of 0.7."""
+    near = p5_neighbours(spark, sf_dir).where(F.col("similarity") >= ALIKE)
+    return near.select(F.least("id", "other").alias("file_a"), F.greatest("id", "other").alias("file_b")).distinct()
+
+
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict = {}

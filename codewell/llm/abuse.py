@@ -49,7 +49,7 @@ _ALIKE = {
 }
 # Digits and signs read as letters inside a word.
 _LEET = str.maketrans("4301578$@!|€£", "aeoistbsailel")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·,/]{1,2}){3,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\W_](?:[\w$@!|€£*'’.\-]*[\w$*@€£])?|\$[\w$@!]+")
 _RUN = re.compile(r"(.)\1+")

@@ -42,7 +42,7 @@ def assign(frames: DataFrame, centroids: DataFrame, vector: str = "vector", keep
             d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
             near = np.round(d, 9).argmin(1)
             exact = np.sqrt(((x - c[near]) ** 2).sum(1))
-            yield b.drop(columns="_v").assign(word_id=words[near], distance=np.round(exact, 6))
+            yield b.drop(columns="_v").assign(word_id=words[near], distance=exact)
 
     return frames.where(F.col(vector).isNotNull()).select(*keep, F.col(vector).cast("array<double>").alias("_v")).mapInPandas(run, schema)
 

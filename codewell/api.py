@@ -44,10 +44,10 @@ class TextSearch:
 
     def __init__(self, metadata: DataFrame, top_terms: int = 5000):
         self.metadata = metadata.dropDuplicates(["chunk_id"])
-        tokened = postings.chunk_tokens(self.metadata)
-        self.book = keep(postings.codebook(postings.term_stats(tokened), top_terms))
-        self.idf = keep(postings.idf_table(self.book, tokened.agg(F.count(F.lit(1)).alias("n_chunks"))))
-        self.postings = keep(postings.postings(tokened, self.book))
+        counts = keep(postings.chunk_terms(postings.chunk_tokens(self.metadata)))
+        self.book = keep(postings.codebook(postings.term_stats(counts), top_terms))
+        self.idf = keep(postings.idf_table(self.book, postings.chunk_count(counts)))
+        self.postings = keep(postings.postings(counts, self.book))
         self.norms = keep(postings.norms(self.postings, self.idf))
 
     @classmethod

@@ -21,15 +21,24 @@ def chunk_tokens(chunks: DataFrame, text: str = "text", stopwords: tuple[str, ..
     return chunks.select("chunk_id", tokens(F.col(text), stopwords).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def term_stats(tokened: DataFrame) -> DataFrame:
-    """``(term, cf, df, first_chunk, first_pos)``: occurrences, chunks, and where the term stands first."""
+def chunk_terms(tokened: DataFrame) -> DataFrame:
+    """``(term, chunk_id, tf, pos)``: frequency and first place of every term in every chunk, the base of the whole index."""
     flat = tokened.select("chunk_id", F.posexplode("tokens").alias("pos", "term"))
-    per_chunk = flat.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
-    return per_chunk.groupBy("term").agg(
+    return flat.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+
+
+def term_stats(counts: DataFrame) -> DataFrame:
+    """``(term, cf, df, first_chunk, first_pos)``: occurrences, chunks, and where the term stands first."""
+    return counts.groupBy("term").agg(
         F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"), F.min(F.struct("chunk_id", "pos")).alias("first")
     ).select("term", "cf", "df", F.col("first.chunk_id").alias("first_chunk"), F.col("first.pos").alias("first_pos"))
 
 
+def chunk_count(counts: DataFrame) -> DataFrame:
+    """One row ``(n_chunks)``: chunks that have a token; each has one term at place 0."""
+    return counts.where("pos = 0").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
 def codebook(stats: DataFrame, size: int = 5000) -> DataFrame:
     """The ``size`` most frequent terms with rank from 0, equal frequencies by first occurrence.
 
@@ -41,16 +50,15 @@ def codebook(stats: DataFrame, size: int = 5000) -> DataFrame:
 
 
 def idf_table(book: DataFrame, n_chunks: DataFrame) -> DataFrame:
-    """``(term, idf)``; ``n_chunks`` has one row with the number of chunks that have a token."""
+    """``(term, idf)`` of a codebook; ``n_chunks`` is the row of chunk_count()."""
     return book.crossJoin(F.broadcast(n_chunks)).select("term", weights.smooth_idf(F.col("n_chunks"), F.col("df")).alias("idf"))
 
 
-def postings(tokened: DataFrame, book: DataFrame | None = None) -> DataFrame:
+def postings(counts: DataFrame, book: DataFrame | None = None) -> DataFrame:
     """``(term, chunk_id, tf)``, restricted to the codebook if given."""
-    flat = tokened.select("chunk_id", F.explode("tokens").alias("term"))
     if book is not None:
-        flat = flat.join(broadcast_within(book.select("term"), CODEBOOK_BROADCAST), "term", "left_semi")
-    return flat.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+        counts = counts.join(broadcast_within(book.select("term"), CODEBOOK_BROADCAST), "term", "left_semi")
+    return counts.select("term", "chunk_id", "tf")
 
 
 def pack(post: DataFrame, segment: int = 10_000) -> DataFrame:

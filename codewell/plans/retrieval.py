@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codewell.functions.stem import stem_terms
 from codewell.functions.text import LINE_ENDS, SPACES, STOPWORDS, paragraphs, tokens
 from codewell.operators import numbering, postings, rank
-from codewell.runtime import broadcast_within, table
+from codewell.runtime import broadcast_within, cut, table
 
 #: Vocabulary cut, and the queries of the registered searches.
 TOP_TERMS = 5000
@@ -37,30 +37,33 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("chunk_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_terms"), F.array_join("tokens", " ").alias("tokens"))
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tokened = postings.chunk_tokens(chunks(spark, sf_dir))
-    return tokened, postings.term_stats(tokened)
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.chunk_terms(postings.chunk_tokens(chunks(spark, sf_dir)))
 
 
 def term_cf_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collection and chunk frequency of every term."""
-    return _stats(spark, sf_dir)[1].select("term", "cf", "df")
+    return postings.term_stats(_counts(spark, sf_dir)).select("term", "cf", "df")
 
 
 def codebook_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent terms with their rank."""
-    return postings.codebook(_stats(spark, sf_dir)[1], TOP_TERMS).select("term", "rank")
+    return postings.codebook(postings.term_stats(_counts(spark, sf_dir)), TOP_TERMS).select("term", "rank")
 
 
 class Index:
-    """Codebook, idf, postings and norms of the paragraphs, all lazy."""
+    """Codebook, idf, postings and norms of the paragraphs.
+
+    The texts are read, analysed and shuffled once, into the checkpointed term counts; codebook and idf are of bounded size and
+    checkpointed too, postings and norms follow lazily.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.metadata = chunks(spark, sf_dir)
-        self.tokened = postings.chunk_tokens(self.metadata)
-        self.book = postings.codebook(postings.term_stats(self.tokened), TOP_TERMS)
-        self.idf = postings.idf_table(self.book, self.tokened.agg(F.count(F.lit(1)).alias("n_chunks")))
-        self.postings = postings.postings(self.tokened, self.book)
+        counts = cut(_counts(spark, sf_dir))
+        self.book = cut(postings.codebook(postings.term_stats(counts), TOP_TERMS))
+        self.idf = cut(postings.idf_table(self.book, postings.chunk_count(counts)))
+        self.postings = postings.postings(counts, self.book)
         self.norms = postings.norms(self.postings, self.idf)
 
     def scores(self, queries: DataFrame) -> DataFrame:
@@ -78,10 +81,10 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with a token, tokens, vocabulary before the cut, documents."""
-    tokened, stats = _stats(spark, sf_dir)
-    totals = stats.agg(F.count(F.lit(1)).alias("n_terms"), F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"))
-    docs = chunks(spark, sf_dir).agg(F.countDistinct("document_id").alias("n_documents"))
-    return tokened.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(totals).crossJoin(docs)
+    counts = cut(_counts(spark, sf_dir))
+    totals = postings.term_stats(counts).agg(F.count(F.lit(1)).alias("n_terms"), F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"))
+    docs = table(spark, sf_dir, "metadata").where("chunk_id is not null").agg(F.countDistinct("document_id").alias("n_documents"))
+    return postings.chunk_count(counts).crossJoin(totals).crossJoin(docs)  # one row each
 
 
 def postings_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,17 +158,13 @@ def batch_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query over stems: terms are mapped through the distinct vocabulary and counted again."""
-    meta = chunks(spark, sf_dir)
-    tokened = postings.chunk_tokens(meta)
-    vocabulary = tokened.select(F.explode("tokens").alias("term")).distinct()
+    meta, raw = chunks(spark, sf_dir), cut(_counts(spark, sf_dir))
     terms = rank.query_terms(rank.one_query(spark, QUERY))
-    stems = stem_terms(vocabulary.unionByName(terms.select("term")))
-    flat = tokened.select("chunk_id", F.posexplode("tokens").alias("pos", "term")).join(stems, "term")
-    per_chunk = flat.groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
-    stats = per_chunk.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"), F.min(F.struct("chunk_id", "pos")).alias("f"))
-    book = postings.codebook(stats.select("term", "cf", "df", F.col("f.chunk_id").alias("first_chunk"), F.col("f.pos").alias("first_pos")), TOP_TERMS)
-    idf = postings.idf_table(book, tokened.agg(F.count(F.lit(1)).alias("n_chunks")))
-    post = per_chunk.join(broadcast_within(book.select("term"), postings.CODEBOOK_BROADCAST), "term", "left_semi").select("term", "chunk_id", "tf")
+    stems = cut(stem_terms(raw.select("term").unionByName(terms.select("term"))))
+    counts = cut(raw.join(stems, "term").groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf").alias("tf"), F.min("pos").alias("pos")))
+    book = cut(postings.codebook(postings.term_stats(counts), TOP_TERMS))
+    idf = cut(postings.idf_table(book, postings.chunk_count(counts)))
+    post = postings.postings(counts, book)
     asked = terms.join(stems, "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.min("pos").alias("pos"))
     scored = rank.scores(rank.query_vector(asked, idf), post, postings.norms(post, idf))
     top = rank.top_k(rank.best_per_document(scored, meta), 10)

@@ -28,12 +28,12 @@ def test_chunks(metadata):
 
 
 def test_index_stages(metadata):
-    tokened = postings.chunk_tokens(metadata)
-    book = postings.codebook(postings.term_stats(tokened), 4)
+    counts = postings.chunk_terms(postings.chunk_tokens(metadata))
+    book = postings.codebook(postings.term_stats(counts), 4)
     assert [(r.term, r["rank"], r.cf, r.df) for r in book.orderBy("rank").collect()] == [("dog", 0, 5, 3), ("cat", 1, 5, 3), ("sun", 2, 3, 3), ("moon", 3, 3, 3)]
-    idf = postings.idf_table(book, tokened.agg(F.count(F.lit(1)).alias("n_chunks")))
+    idf = postings.idf_table(book, postings.chunk_count(counts))
     assert all(abs(r.idf - 1.559616) < 1e-6 for r in idf.collect())
-    post = postings.postings(tokened, book)
+    post = postings.postings(counts, book)
     packed = postings.pack(post)
     assert {r.term: [tuple(p) for p in r.postings] for r in packed.collect()} == {
         "cat": [(0, 1), (2, 3), (5, 1)], "dog": [(0, 2), (4, 1), (5, 2)], "moon": [(1, 1), (2, 1), (4, 1)], "sun": [(0, 1), (4, 1), (5, 1)]}

@@ -24,15 +24,14 @@ from __future__ import annotations
 
 import io
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codewell.llm.plain import WordHashes, without_marks
 from codewell.runtime import spread
 
 BUCKETS, RANK = 1 << 17, 8
@@ -59,8 +58,9 @@ def words_of(text: str | None) -> list[str]:
     """Normalised words of a text."""
     if not text:
         return []
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold()
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(_ALIKE)
+    text = text.casefold()
+    if not text.isascii():
+        text = without_marks(_INVISIBLE.sub("", text)).casefold().translate(_ALIKE)
     text = _APART.sub(lambda m: "".join(c for c in m[0] if c.isalnum()), text)
     out = []
     for w in _WORD.findall(text):
@@ -85,21 +85,6 @@ def _plain(word: str) -> list[str]:
     return [_RUN.sub(r"\1", p) for p in parts]
 
 
-class Vocabulary:
-    """Word → hash, cached; a word's bucket and a pair's bucket follow from the hashes."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter((known[w] for w in words), np.uint64, len(words))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return ((x ^ (x >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
@@ -210,8 +195,8 @@ def _padded(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 4) -> FactorizationMachine:
     """Fit on documents with 0/1 labels, alternating with the choice of the windows that explain positive labels."""
-    machine, vocabulary = FactorizationMachine(), Vocabulary()
-    streams = [vocabulary.hashes(words_of(t)) for t in texts]
+    machine, vocabulary = FactorizationMachine(), WordHashes()
+    streams = [vocabulary.of(words_of(t)) for t in texts]
     rng = np.random.default_rng(seed)
     usable = [k for k in rng.permutation(len(streams)).tolist() if len(streams[k])]
     held = {k for n, k in enumerate(usable) if n % 10 == 0}
@@ -299,9 +284,9 @@ def score_documents(docs: DataFrame, packed: bytes, doc_id: str = "doc_id", text
     model = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, vocabulary = FactorizationMachine.loads(model.value), Vocabulary()
+        machine, vocabulary = FactorizationMachine.loads(model.value), WordHashes()
         for batch in batches:
-            raw = np.array([machine.score(vocabulary.hashes(words_of(t))) for t in batch["_text"]])
+            raw = np.array([machine.score(vocabulary.of(words_of(t))) for t in batch["_text"]])
             with np.errstate(over="ignore"):
                 yield batch.drop(columns="_text").assign(score=np.round(1 / (1 + np.exp(machine.threshold - raw)), 6), flagged=raw >= machine.threshold) if np.isfinite(
                     machine.threshold

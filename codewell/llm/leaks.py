@@ -21,19 +21,22 @@ from __future__ import annotations
 import html
 import math
 import re
-import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codewell.llm.plain import WordHashes, without_marks
 from codewell.runtime import spread
 
 SHINGLE = 5
-BLOCK, STEP = 64, 40  # words; two neighbours share 24, more than an altered window of 20 needs
+CELL = 20  # shingles; a block is three cells, so two neighbours share one, more than an altered window of 20 words needs
+BLOCK = 3 * CELL + SHINGLE - 1  # words
+#: Words searched at once.
+GROUP_WORDS = 400_000
 #: Upper size of each partition in words, and the chance that a case at the bound is missed.
 PARTITIONS, MISS = (24, 40, BLOCK), 1e-4
 #: Item words per slice: a slice's tables take a few dozen MB in each worker.
@@ -48,21 +51,7 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     text = _MARKUP.sub(" ", html.unescape(text))
-    text = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
-    return _WORD.findall(_APOSTROPHE.sub("", text))
-
-
-class _Hasher:
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter((known[w] for w in words), np.uint64, len(words))
+    return _WORD.findall(_APOSTROPHE.sub("", without_marks(text.casefold())))
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
@@ -120,14 +109,15 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], window: int, slack: int):
         self.window, self.slack = window, slack
-        hasher = _Hasher()
+        hasher = WordHashes()
         self.ids, self.words, self.shingles = [], [], []
         for ident, text in items:
-            w = hasher(words_of(text))
+            w = hasher.of(words_of(text))
             if len(w) >= window:
                 self.ids.append(ident)
                 self.words.append(w)
                 self.shingles.append(shingle_hashes(w))
+        self.lists = [x.tolist() for x in self.shingles]
         self.counts = [hash_count(size, window, slack) for size in PARTITIONS]
         self.mults = multipliers(max(self.counts))
         span = window - SHINGLE + 1
@@ -144,48 +134,87 @@ class ItemIndex:
             self.tables.append((k[order], o[order]))
 
     def search(self, words: np.ndarray) -> dict[int, tuple[int, int]]:
-        """Items held by a document: item → (edits, position in the document) of the best window."""
-        n, w = len(words), self.window
-        found: dict[int, tuple[int, int]] = {}
-        if n < w - self.slack or not self.ids:
+        """Items held by one document: item → (edits, position in the document) of the best window."""
+        return self.search_all([words])[0]
+
+    def search_all(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
+        """The same for many documents at once: each hash function is one pass over all their shingles.
+
+        Shingles are cut into cells; a block is three successive cells and the next block starts two cells on.
+        """
+        found: list[dict[int, tuple[int, int]]] = [{} for _ in docs]
+        usable = [d for d, w in enumerate(docs) if len(w) >= max(self.window - self.slack, SHINGLE)]
+        if not usable or not self.ids:
             return found
-        shingles = shingle_hashes(words)
-        starts = [0] if n <= BLOCK else [*range(0, n - BLOCK, STEP), n - BLOCK]
-        size = min(n, BLOCK)
-        part = next(i for i, most in enumerate(PARTITIONS) if size <= most)
-        rows = np.array(starts)[:, None] + np.arange(size - SHINGLE + 1)
+        shingles = [shingle_hashes(docs[d]) for d in usable]
+        flat = np.concatenate(shingles)
+        lengths = np.array([len(s) for s in shingles])
+        base = np.cumsum(lengths) - lengths
+        cells = -(-lengths // CELL)
+        cell_base = np.cumsum(cells) - cells
+        cell_at = np.concatenate([b + np.arange(0, n, CELL) for b, n in zip(base, lengths, strict=True)])
+        blocks = np.maximum(1, -(-(cells - 1) // 2))
+        owner = np.repeat(np.arange(len(usable)), blocks)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        first = cell_base[owner] + 2 * place
+        last = cell_base[owner] + cells[owner] - 1
+        second, third = np.minimum(first + 1, last), np.minimum(first + 2, last)
+        size = np.minimum(lengths[owner] - 2 * CELL * place, 3 * CELL) + SHINGLE - 1
+        needed = np.array(self.counts)[np.searchsorted(PARTITIONS, size)]
         hits = []
-        for j in range(self.counts[part]):
+        for j, mult in enumerate(self.mults):
+            x = flat * mult
+            x ^= x >> np.uint64(32)
+            least = np.minimum.reduceat(x, cell_at)
+            mins = np.minimum(np.minimum(least[first], least[second]), least[third])
             keys, owners = self.tables[j]
-            mins = _min_hashes(shingles, rows, self.mults[j])
             lo, hi = np.searchsorted(keys, mins), np.searchsorted(keys, mins, "right")
-            for b in np.nonzero(hi > lo)[0]:
-                hits.append(owners[lo[b] : hi[b]] * len(starts) + b)
+            for b in np.flatnonzero((hi > lo) & (needed > j)).tolist():
+                hits.append(b * len(self.ids) + owners[lo[b] : hi[b]])
         if not hits:
             return found
+        at_block, held = -1, set()
         for code in np.unique(np.concatenate(hits)).tolist():
-            i, b = divmod(code, len(starts))
-            best = self._verify(i, words[starts[b] : starts[b] + size], shingles[starts[b] : starts[b] + size - SHINGLE + 1])
-            if best is not None and (i not in found or best < found[i][0]):
-                found[i] = (best, starts[b])
+            b, i = divmod(code, len(self.ids))
+            k, at, n = owner[b], int(2 * CELL * place[b]), int(size[b])
+            if b != at_block:
+                at_block, held = b, set(shingles[k][at : at + n - SHINGLE + 1].tolist())
+            best = self._verify(i, docs[usable[k]][at : at + n], held)
+            of = found[usable[k]]
+            if best is not None and (i not in of or (best, at) < of[i]):
+                of[i] = (best, at)
         return found
 
-    def _verify(self, i: int, block: np.ndarray, block_shingles: np.ndarray) -> int | None:
+    def _verify(self, i: int, block: np.ndarray, block_shingles: set[int]) -> int | None:
         """Exact shingle containment of each window, then its exact edits; None if no window is within the slack."""
         w, span = self.window, self.window - SHINGLE + 1
-        held = np.concatenate([[0], np.cumsum(np.isin(self.shingles[i], block_shingles))])
+        enough = max(1, span - SHINGLE * self.slack)
+        inside = [s in block_shingles for s in self.lists[i]]
+        if sum(inside) < enough:
+            return None
+        held = np.concatenate([[0], np.cumsum(inside)])
         inside = held[span:] - held[:-span]
-        least, text = None, None
+        least, text = None, block.tolist()
         for p in np.argsort(-inside, kind="stable").tolist():
-            if inside[p] < max(1, span - SHINGLE * self.slack) or least == 0:
+            if inside[p] < enough or least == 0:
                 break
-            text = block.tolist() if text is None else text
             d = edit_distance_within(self.words[i][p : p + w].tolist(), text)
             if d <= self.slack and (least is None or d < least):
                 least = d
         return least
 
 
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def built_index(token: str, items: list[tuple[int, str]], window: int, slack: int) -> ItemIndex:
+    """The worker's index of a slice; a Python process serves many tasks and builds it once."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = ItemIndex(items, window, slack)
+    return _BUILT[token]
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 20, slack: int = 2
 ) -> DataFrame:
@@ -201,15 +230,18 @@ def find_leaks(
         part = narrow.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k)
         rows = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about SLICE_WORDS words
 
-        def search(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            index, hasher = ItemIndex(rows.value, window, slack), _Hasher()
+        def search(batches: Iterator[pd.DataFrame], rows=rows, token=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            index, hasher = built_index(token, rows.value, window, slack), WordHashes()
             for batch in batches:
-                out = [
-                    (doc, index.ids[i], edits, at)
-                    for doc, body in zip(batch["doc"], batch["text"], strict=True)
-                    for i, (edits, at) in index.search(hasher(words_of(body))).items()
-                ]
-                yield pd.DataFrame(out, columns=["doc", "item", "edits", "word_position"])
+                ids, group, size = [], [], 0
+                for n, (doc, body) in enumerate(zip(batch["doc"], batch["text"], strict=True), 1):
+                    ids.append(doc)
+                    group.append(hasher.of(words_of(body)))
+                    size += len(group[-1])
+                    if size >= GROUP_WORDS or n == len(batch):
+                        out = [(d, index.ids[i], edits, at) for d, of in zip(ids, index.search_all(group), strict=True) for i, (edits, at) in of.items()]
+                        yield pd.DataFrame(out, columns=["doc", "item", "edits", "word_position"])
+                        ids, group, size = [], [], 0
 
         found = corpus.mapInPandas(search, f"doc {kinds['doc']}, item {kinds['item']}, edits int, word_position int")
         result = found if result is None else result.unionByName(found)

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from codewell.llm.abuse import BUCKETS, WINDOWS, FactorizationMachine, Vocabulary, fit_on, score_documents, spans, train, words_of
+from codewell.llm.abuse import BUCKETS, WINDOWS, FactorizationMachine, fit_on, score_documents, spans, train, words_of
+from codewell.llm.plain import WordHashes
 
 INSULTS = ["grumbler", "snotface", "wretchling", "dungheap", "gutterling"]
 GROUPS = ["ostrians", "velkins", "marnites"]
@@ -25,8 +26,8 @@ def corpus(n, seed):
 
 def test_interactions_are_learnt():
     rows, new = corpus(800, 1), corpus(400, 2)
-    machine, vocabulary = train([t for _, t, _ in rows], np.array([y for *_, y in rows], float)), Vocabulary()
-    s = np.array([machine.score(vocabulary.hashes(words_of(t))) for _, t, _ in new])
+    machine, vocabulary = train([t for _, t, _ in rows], np.array([y for *_, y in rows], float)), WordHashes()
+    s = np.array([machine.score(vocabulary.of(words_of(t))) for _, t, _ in new])
     y = np.array([y for *_, y in new])
     hit = ((s >= machine.threshold) == (y == 1)).mean()
     assert hit >= 0.97
@@ -39,13 +40,13 @@ def test_prefix_sums_equal_direct_sums():
     from codewell.llm.abuse import _padded
 
     for n in (1, 2, 5, 6, 7, 16, 17, 90):
-        h = Vocabulary().hashes([f"x{k}" for k in range(n)])
+        h = WordHashes().of([f"x{k}" for k in range(n)])
         s, a, b = m.window_scores(h)
         assert np.allclose(s, m.raw(_padded(h, a, b)), atol=1e-3)
         assert all(any(lo <= p < hi for lo, hi in zip(a, b, strict=True)) for p in range(n))
         if n >= WINDOWS[-1][0]:
             assert set(b - a) == {w for w, _ in WINDOWS}
-    assert m.score(Vocabulary().hashes([])) == -np.inf and len(spans(3)[0]) == 1
+    assert m.score(WordHashes().of([])) == -np.inf and len(spans(3)[0]) == 1
 
 
 def test_disguises():

@@ -1,6 +1,7 @@
 import random
 
-from codewell.llm.leaks import BLOCK, ItemIndex, _Hasher, edit_distance_within, find_leaks, words_of
+from codewell.llm.leaks import BLOCK, ItemIndex, edit_distance_within, find_leaks, words_of
+from codewell.llm.plain import WordHashes
 
 
 def brute(pattern, text):
@@ -71,7 +72,7 @@ def test_empty(spark):
 
 def test_every_window_lies_in_a_block():
     text = [f"v{k}" for k in range(3 * BLOCK + 11)]
-    hasher = _Hasher()
+    hasher = WordHashes()
     for a in range(len(text) - 22):
         index = ItemIndex([(1, " ".join([*text[a : a + 5], "new", *text[a + 7 : a + 21]]))], 20, 2)
-        assert index.search(hasher(text)), a
+        assert index.search(hasher.of(text)), a

@@ -32,5 +32,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("file_a"), F.greatest("id", "other").alias("file_b")).distinct()
 
 
+_SQL = f"""
+WITH usable AS (
+  SELECT nombre_archivo AS f, CAST(histograma_visual AS DOUBLE[]) AS h FROM fashion_images
+  UNION ALL SELECT nombre_archivo, histograma FROM vectores_fashion),
+pic AS MATERIALIZED (
+  SELECT f, any_value(h) AS h FROM usable
+  WHERE f IS NOT NULL AND len(h) = {DIM} AND len(list_filter(h, lambda x: x IS NULL OR isnan(x))) = 0
+    AND len(list_filter(h, lambda x: x <> 0)) > 0 GROUP BY f),
+pairs AS (SELECT a.f AS f, b.f AS o, round(list_cosine_similarity(a.h, b.h), 6) AS s FROM pic a JOIN pic b ON a.f <> b.f),
+top AS (SELECT f, o, s, row_number() OVER (PARTITION BY f ORDER BY s DESC, o) AS r FROM pairs)
+SELECT DISTINCT least(f, o) AS file_a, greatest(f, o) AS file_b FROM top WHERE r <= 5 AND s >= {ALIKE}"""
+
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-SQL: dict = {}
+SQL = {"p5_found": _SQL}

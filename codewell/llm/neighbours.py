@@ -3,8 +3,8 @@
 A bounded sample of ``TRAIN`` vectors, chosen by hash, trains coarse centroids and, on the residuals, one small codebook per
 sub-space. Every vector is indexed under its nearest centroid by the codes of its residual, and asks the lists of its
 ``probes`` nearest centroids. A list is answered by asymmetric distance tables (inner products of the query's sub-vectors with
-all codewords); the best ``rerank`` of them are reranked by the exact cosine in double precision, rounded to 6 digits, ties by
-the smaller id. Lists are cut into blocks of members and blocks of queries by their counted sizes, so a list that owns a third
+all codewords); the best ``rerank`` of them, and all others that the tables' measured error may hide behind the k-th best, are reranked by the exact
+cosine in double precision, rounded to 6 digits, ties by the smaller id. Lists are cut into blocks of members and blocks of queries by their counted sizes, so a list that owns a third
 of all rows becomes many tasks of bounded size. What is broadcast are centroids and codebooks, at most
 ``MAX_LISTS`` * dim + 256 * dim numbers whatever the data.
 
@@ -29,6 +29,8 @@ from codewell.runtime import cut
 
 #: Training sample, upper bound of coarse lists, and members or queries in a block.
 TRAIN, MAX_LISTS, BLOCK = 10_000, 1024, 1500
+#: Members within so many standard errors of the tables below the k-th best are reranked, too.
+MARGIN = 2.0
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -54,18 +56,25 @@ def nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 class Quantizer:
-    """Coarse centroids and residual codebooks (sub-spaces, 256, width)."""
+    """Coarse centroids, residual codebooks (sub-spaces, 256, width), and the spread of the tables' error."""
 
-    def __init__(self, centroids: np.ndarray, books: np.ndarray):
-        self.centroids, self.books = centroids, books
+    def __init__(self, centroids: np.ndarray, books: np.ndarray, error: float = 0.0):
+        self.centroids, self.books, self.error = centroids, books, error
 
     @classmethod
     def train(cls, x: np.ndarray, lists: int, parts: int) -> Quantizer:
         centroids = kmeans(x, lists, 10, 1)
-        residual = x - centroids[nearest(x, centroids)]
+        near = nearest(x, centroids)
+        residual = x - centroids[near]
         width = x.shape[1] // parts
         books = [kmeans(residual[:, m * width : (m + 1) * width], 256, 6, m) for m in range(parts)]
-        return cls(centroids, np.stack(books))
+        trained = cls(centroids, np.stack(books))
+        order = np.argsort(near, kind="stable")  # neighbours in this order mostly share a list
+        a, b = order[:-1], order[1:]
+        codes = trained.codes(x[b], near[b])
+        lost = residual[b] - np.concatenate([trained.books[m][codes[:, m]] for m in range(parts)], axis=1)
+        trained.error = float(np.std((x[a] * lost).sum(1))) if len(a) else 0.0
+        return trained
 
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         residual, width = x - self.centroids[lists], self.books.shape[2]
@@ -78,13 +87,13 @@ class Quantizer:
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, c=self.centroids, b=self.books)
+        np.savez(out, c=self.centroids, b=self.books, e=self.error)
         return out.getvalue()
 
     @classmethod
     def loads(cls, raw: bytes) -> Quantizer:
         with np.load(io.BytesIO(raw)) as z:
-            return cls(z["c"], z["b"])
+            return cls(z["c"], z["b"], float(z["e"]))
 
 
 def _best(quantizer: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_no: int, dim: int, k: int, rerank: int) -> pd.DataFrame:
@@ -110,17 +119,22 @@ def _best(quantizer: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, li
             score += np.take(table, codes[:, m], axis=1)
         for r in range(len(q)):
             name = asked[a + r]
-            if name in position:
-                score[r, position[name]] = -np.inf
-            few = np.argpartition(-score[r], rerank)[:rerank] if len(ids) > rerank else np.arange(len(ids))
+            own = position.get(name)
+            if own is not None:
+                score[r, own] = -np.inf
+            few = np.argpartition(-score[r], rerank)[:rerank] if len(ids) > rerank else np.flatnonzero(score[r] > -np.inf)
             exact = np.round((q[r][col[few]] * val[few]).sum(1), 6)
-            few, exact = (few, exact) if name not in position else (few[few != position[name]], exact[few != position[name]])
+            if rerank < len(ids) and len(few) >= k:  # all that the error of the tables may hide
+                more = score[r] >= np.partition(exact, -k)[-k] - MARGIN * quantizer.error
+                more[few] = False
+                more = np.flatnonzero(more)
+                few, exact = np.append(few, more), np.append(exact, np.round((q[r][col[more]] * val[more]).sum(1), 6))
             top = np.lexsort((by_name[few], -exact))[:k]
             out += [(name, ids[i], s) for i, s in zip(few[top], exact[top], strict=True)]
     return pd.DataFrame(out, columns=["id", "other", "similarity"])
 
 
-def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100, probes: int = 4, rerank: int = 128) -> DataFrame:
+def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100, probes: int = 8, rerank: int = 48) -> DataFrame:
     """``(id, other, similarity, rank)``: the k most similar others of every vector of ``(id, packed)``."""
     spark = packed.sparkSession
     packed = cut(packed)

@@ -39,6 +39,8 @@ from codewell.runtime import spread
 BUCKETS, RANK = 1 << 17, 8
 #: Labelled documents of each class used for training at most.
 MAX_LABELLED = 6000
+#: Words scored at once.
+GROUP_WORDS = 100_000
 #: (length, step) of the windows in words.
 WINDOWS = ((6, 2), (10, 2), (16, 4))
 
@@ -76,10 +78,20 @@ def words_of(text: str | None) -> list[str]:
     if not text.isascii():
         text = without_marks(_INVISIBLE.sub("", text)).casefold().translate(_ALIKE)
     text = _APART.sub(lambda m: "".join(c for c in m[0] if c.isalnum()), text)
-    out = []
-    for w in _WORD.findall(text):
-        out += _plain(w)
-    return out
+    return [p for w in _WORD.findall(text) for p in _PLAIN[w]]
+
+
+class _PlainWords(dict):
+    """Written word → normalised words, remembered; emptied when large."""
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = _plain(word)
+        return value
+
+
+_PLAIN = _PlainWords()
 
 
 def _plain(word: str) -> list[str]:
@@ -162,7 +174,36 @@ class FactorizationMachine:
 
     def score(self, hashes: np.ndarray) -> float:
         """Raw score of a text: its best window; minus infinity without words."""
-        return float(self.window_scores(hashes)[0].max()) if len(hashes) else -np.inf
+        return float(self.score_all([hashes])[0])
+
+    def score_all(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Raw scores of many texts at once: the prefix sums run over all of them, no window over the bounds."""
+        n = np.array([len(t) for t in texts], np.int64)
+        best = np.full(len(texts), -np.inf)
+        if not n.sum():
+            return best
+        base = np.cumsum(n) - n
+        flat = np.concatenate([t for t in texts if len(t)])
+        one, two = buckets(flat)
+        rows = lambda i: np.concatenate([self.w[i][:, None], self.v[i], (self.v[i] ** 2).sum(1, keepdims=True)], axis=1)
+        prefix = lambda x: np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
+        singles, pairs = prefix(rows(one) + rows(class_buckets(flat))), prefix(rows(two))
+        before = 0
+        for length, step in WINDOWS:
+            for docs, short in ((np.flatnonzero(n > length), False), (np.flatnonzero((n <= length) & (n > before)), True)):
+                if not len(docs):
+                    continue
+                count = np.ones(len(docs), np.int64) if short else 1 - (length - n[docs]) // step
+                first = np.cumsum(count) - count
+                place = np.arange(count.sum()) - np.repeat(first, count)
+                room = np.repeat(np.zeros(len(docs), np.int64) if short else n[docs] - length, count)
+                a = np.repeat(base[docs], count) + np.minimum(place * step, room)
+                b = a + np.repeat(np.minimum(n[docs], length), count)
+                s = singles[b] - singles[a] + pairs[b - 1] - pairs[np.minimum(a, b - 1)]
+                raw = self.bias + s[:, 0] + 0.5 * ((s[:, 1:-1] ** 2).sum(1) - s[:, -1])
+                best[docs] = np.maximum(best[docs], np.maximum.reduceat(raw, first))
+            before = length
+        return best
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Raw scores of rows of padded buckets."""
@@ -222,7 +263,7 @@ def _padded(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([first, second[:, :-1], third], axis=1)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 4) -> FactorizationMachine:
+def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3) -> FactorizationMachine:
     """Fit on documents with 0/1 labels, alternating with the choice of the windows that explain positive labels."""
     machine, vocabulary = FactorizationMachine(), WordHashes()
     streams = [vocabulary.of(words_of(t)) for t in texts]
@@ -246,7 +287,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 4)
     parts = []
     for k in neg:  # some windows of every negative document
         a, b = spans(len(streams[k]))
-        pick = rng.choice(len(a), min(len(a), 8), replace=False)
+        pick = rng.choice(len(a), min(len(a), 5), replace=False)
         parts.append(_padded(streams[k], a[pick], b[pick]))
     plain = np.concatenate(parts)
     hard: list[np.ndarray] = []
@@ -282,7 +323,7 @@ def _threshold(machine: FactorizationMachine, streams: list[np.ndarray], labels:
     Of equally good cuts the one nearest to -0.5 is taken. With fewer than five held-out positives the cut lies above the
     held-out negatives, but not below -2.5.
     """
-    s = np.array([machine.score(x) for x in streams])
+    s = machine.score_all(streams)
     if labels.sum() < 5:
         return float(max(-2.5, s[labels == 0].max(initial=-3.0) + 0.5))
     cuts = np.linspace(-2, 0.5, 26)  # a high cut would only follow wrong labels
@@ -317,7 +358,14 @@ def score_documents(docs: DataFrame, packed: bytes, doc_id: str = "doc_id", text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, vocabulary = FactorizationMachine.loads(model.value), WordHashes()
         for batch in batches:
-            raw = np.array([machine.score(vocabulary.of(words_of(t))) for t in batch["_text"]])
+            raw, group, size = [np.empty(0)], [], 0
+            for text in batch["_text"]:
+                group.append(vocabulary.of(words_of(text)))
+                size += len(group[-1])
+                if size >= GROUP_WORDS:
+                    raw.append(machine.score_all(group))
+                    group, size = [], 0
+            raw = np.concatenate([*raw, machine.score_all(group)])
             with np.errstate(over="ignore"):
                 yield batch.drop(columns="_text").assign(score=np.round(1 / (1 + np.exp(machine.threshold - raw)), 6), flagged=raw >= machine.threshold) if np.isfinite(
                     machine.threshold

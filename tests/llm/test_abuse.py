@@ -46,6 +46,9 @@ def test_prefix_sums_equal_direct_sums():
         assert all(any(lo <= p < hi for lo, hi in zip(a, b, strict=True)) for p in range(n))
         if n >= WINDOWS[-1][0]:
             assert set(b - a) == {w for w, _ in WINDOWS}
+    texts = [WordHashes().of([f"y{k}" for k in range(n)]) for n in (3, 0, 40, 16, 11, 1, 6, 7, 0, 17, 300)]
+    alone = [m.window_scores(t)[0].max() if len(t) else -np.inf for t in texts]
+    assert np.allclose(m.score_all(texts), alone, atol=1e-6) and len(m.score_all([])) == 0
     assert m.score(WordHashes().of([])) == -np.inf and len(spans(3)[0]) == 1
 
 

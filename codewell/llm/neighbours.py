@@ -1,8 +1,8 @@
 """Most similar vectors for every vector: inverted file with product-quantised residuals and exact reranking.
 
 A bounded sample of ``TRAIN`` vectors, chosen by hash, trains coarse centroids and, on the residuals, one small codebook per
-sub-space. Every vector is indexed under its nearest centroid by the codes of its residual, and asks the lists of its
-``probes`` nearest centroids. A list is answered by asymmetric distance tables (inner products of the query's sub-vectors with
+sub-space. Every vector is indexed under its nearest centroid by the codes of its residual, and asks that list and those of
+the centroids foremost by inner product or nearness, ``probes`` in all, but only rings of them that can hold a better one. A list is answered by asymmetric distance tables (inner products of the query's sub-vectors with
 all codewords); the best ``rerank`` of them, and all others that the tables' measured error may hide behind the k-th best, are reranked by the exact
 cosine in double precision, rounded to 6 digits, ties by the smaller id. Lists are cut into blocks of members and blocks of queries by their counted sizes, so a list that owns a third
 of all rows becomes many tasks of bounded size. What is broadcast are centroids and codebooks, at most
@@ -31,6 +31,10 @@ from codewell.runtime import cut
 TRAIN, MAX_LISTS, BLOCK = 10_000, 1024, 1500
 #: Members within so many standard errors of the tables below the k-th best are reranked, too.
 MARGIN = 2.0
+#: Width of the rings around a centroid into which a list's members are parted.
+RING = 0.15
+#: Part of a ring's distance that a query may reach; 1 makes the bound exact, less trades recall for fewer lists asked.
+REACH = 0.7
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -98,40 +102,66 @@ class Quantizer:
 
 def _best(quantizer: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_no: int, dim: int, k: int, rerank: int) -> pd.DataFrame:
     """The k best members of one block for each query of one block."""
-    codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(members), -1)
-    ids, asked = members["id"].to_numpy(), queries["id"].to_numpy()
-    # exact reranking reads the members' non-zero entries only
-    rows, cols, vals = unpack(members["packed"])
-    counts = np.bincount(rows, minlength=len(members))
-    width = int(counts.max())
-    col, val = np.zeros((len(members), width), np.int64), np.zeros((len(members), width))
-    at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-    col[rows, at], val[rows, at] = cols, vals
-    val /= np.sqrt((val * val).sum(1))[:, None]
-    by_name = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    position = {i: n for n, i in enumerate(ids)}
-    out = []
+    members = members.sort_values("id", kind="stable")  # so that stable sorts break ties by id
+    ids, asked, n = members["id"].to_numpy(), queries["id"].to_numpy(), len(members)
+    own = pd.Index(ids).get_indexer(asked)  # a query's own place, or -1
+    few_members = n <= rerank + k
+    if few_members:
+        dense = unit_rows(members["packed"].tolist(), dim)
+    else:
+        codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(n, -1)
+        rows, cols, vals = unpack(members["packed"].tolist())  # exact reranking reads the non-zero entries only
+        counts = np.bincount(rows, minlength=n)
+        width, at = int(counts.max()), np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        col, val = np.zeros((n, width), np.int64), np.zeros((n, width))
+        col[rows, at], val[rows, at] = cols, vals
+        val /= np.sqrt((val * val).sum(1))[:, None]
+    names, others, values = [], [], []
     for a in range(0, len(asked), 128):
-        q = unit_rows(queries["packed"].iloc[a : a + 128], dim)
-        tables = quantizer.tables(q.astype(np.float32))
-        score = np.repeat((q.astype(np.float32) @ quantizer.centroids[list_no])[:, None], len(ids), 1)
-        for m, table in enumerate(tables):
-            score += np.take(table, codes[:, m], axis=1)
-        for r in range(len(q)):
-            name = asked[a + r]
-            own = position.get(name)
-            if own is not None:
-                score[r, own] = -np.inf
-            few = np.argpartition(-score[r], rerank)[:rerank] if len(ids) > rerank else np.flatnonzero(score[r] > -np.inf)
-            exact = np.round((q[r][col[few]] * val[few]).sum(1), 6)
-            if rerank < len(ids) and len(few) >= k:  # all that the error of the tables may hide
-                more = score[r] >= np.partition(exact, -k)[-k] - MARGIN * quantizer.error
-                more[few] = False
-                more = np.flatnonzero(more)
-                few, exact = np.append(few, more), np.append(exact, np.round((q[r][col[more]] * val[more]).sum(1), 6))
-            top = np.lexsort((by_name[few], -exact))[:k]
-            out += [(name, ids[i], s) for i, s in zip(few[top], exact[top], strict=True)]
-    return pd.DataFrame(out, columns=["id", "other", "similarity"])
+        q, mine = unit_rows(queries["packed"].iloc[a : a + 128].tolist(), dim), own[a : a + 128]
+        inside = np.flatnonzero(mine >= 0)
+        if few_members:
+            exact = np.round(q @ dense.T, 6)
+            exact[inside, mine[inside]] = -np.inf
+            near, exact = _top(np.broadcast_to(np.arange(n), exact.shape), exact, k)
+        else:
+            score = np.repeat((q.astype(np.float32) @ quantizer.centroids[list_no])[:, None], n, 1)
+            for m, table in enumerate(quantizer.tables(q.astype(np.float32))):
+                score += np.take(table, codes[:, m], axis=1)
+            score[inside, mine[inside]] = -np.inf
+            few = np.sort(np.argpartition(-score, rerank, axis=1)[:, :rerank], axis=1)
+            part = np.take_along_axis(q, col[few].reshape(len(q), -1), axis=1).reshape(len(q), rerank, width)
+            exact = np.round(np.einsum("qrw,qrw->qr", part, val[few]), 6)
+            floor = np.partition(exact, -k, axis=1)[:, -k] - MARGIN * quantizer.error
+            more = score >= floor[:, None]  # all that the error of the tables may hide
+            np.put_along_axis(more, few, False, axis=1)
+            near, best = _top(few, exact, k)
+            for r in np.flatnonzero(more.any(1)).tolist():
+                extra = np.flatnonzero(more[r])
+                every = np.concatenate([near[r], extra])
+                known = np.concatenate([best[r], np.round((q[r][col[extra]] * val[extra]).sum(1), 6)])
+                order = np.lexsort((every, -known))[:k]
+                near[r], best[r] = every[order], known[order]
+            exact = best
+        names.append(np.repeat(asked[a : a + 128], near.shape[1]))
+        others.append(ids[near.ravel()])
+        values.append(exact.ravel())
+    value = np.concatenate(values)
+    real = value > -np.inf  # without the query itself
+    return pd.DataFrame({"id": np.concatenate(names)[real], "other": np.concatenate(others)[real], "similarity": value[real]})
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Rank of each value in its row, from 0."""
+    out, order = np.empty(x.shape, np.int64), np.argsort(x, axis=1, kind="stable")
+    np.put_along_axis(out, order, np.broadcast_to(np.arange(x.shape[1]), x.shape), axis=1)
+    return out
+
+
+def _top(at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the k largest per row; ``at`` ascends in each row and breaks ties."""
+    order = np.argsort(-value, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(at, order, axis=1), np.take_along_axis(value, order, axis=1)
 
 
 def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100, probes: int = 8, rerank: int = 48) -> DataFrame:
@@ -160,20 +190,25 @@ def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100
             for a in range(0, len(batch), 2000):
                 part = batch.iloc[a : a + 2000]
                 x = unit_rows(part["packed"], dim, "float32")
-                d = (quantizer.centroids**2).sum(1) - 2 * x @ quantizer.centroids.T
-                order = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                inner = x @ quantizer.centroids.T
+                d = (quantizer.centroids**2).sum(1) - 2 * inner
+                # the own list is the nearest centroid's; the others asked are foremost by inner product or by nearness
+                rank = np.minimum(2 * _ranks(-inner), 3 * _ranks(d) + 1)
+                rank[np.arange(len(x)), d.argmin(1)] = -1
+                order = np.argsort(rank, axis=1, kind="stable")[:, :probes]
                 codes = quantizer.codes(x, order[:, 0])
-                yield pd.DataFrame({"id": part["id"], "packed": part["packed"], "code": [c.tobytes() for c in codes], "asks": order.astype(np.int32).tolist()})
-
-    indexed = cut(packed.mapInPandas(index, "id string, packed binary, code binary, asks array<int>"))
-    members = indexed.select("id", "packed", "code", F.col("asks")[0].alias("list"))
-    queries = indexed.select("id", "packed", F.explode("asks").alias("list"))
-    blocks = lambda df: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    sizes = F.broadcast(blocks(members).withColumnRenamed("n", "m_blocks").join(blocks(queries).withColumnRenamed("n", "q_blocks"), "list"))  # at most MAX_LISTS rows
+                radius = np.sqrt(((x - quantizer.centroids[order[:, 0]]) ** 2).sum(1))
+                yield pd.DataFrame({
+                    "id": part["id"], "packed": part["packed"], "code": [c.tobytes() for c in codes], "asks": order.astype(np.int32).tolist(),
+                    "inner": np.take_along_axis(inner, order, axis=1).astype(np.float64).tolist(), "radius": radius.astype(np.float64),
+                })
+
+    indexed = cut(packed.mapInPandas(index, "id string, packed binary, code binary, asks array<int>, inner array<double>, radius double"))
+    ring = F.least(F.floor(F.col("radius") / RING), F.lit(9)).cast("int").alias("ring")
+    members = indexed.select("id", "packed", "code", F.col("asks")[0].alias("list"), "radius", ring)
     turn = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
     own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-    m = members.join(sizes, "list").withColumn("mb", own("m_blocks")).withColumn("qb", F.explode(turn("q_blocks"))).select("list", "mb", "qb", "id", "packed", "code")
-    q = queries.join(sizes, "list").withColumn("qb", own("q_blocks")).withColumn("mb", F.explode(turn("m_blocks"))).select("list", "mb", "qb", "id", "packed")
+    blocks = lambda df, name: df.groupBy("list", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["code"].isna()
@@ -182,8 +217,25 @@ def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100
             return pd.DataFrame({"id": [], "other": [], "similarity": []})
         return _best(Quantizer.loads(model.value), held, asking, int(key[0]), dim, k, rerank)
 
-    both = m.unionByName(q, allowMissingColumns=True)  # a group holds at most some BLOCK members and BLOCK queries
-    found = both.groupBy("list", "mb", "qb").applyInPandas(answer, "id string, other string, similarity double")
+    def ask(held: DataFrame, queries: DataFrame) -> DataFrame:
+        """Answers of members to queries of the same list and ring; a group holds at most some BLOCK of each."""
+        sizes = F.broadcast(blocks(held, "m_blocks").join(blocks(queries, "q_blocks"), ["list", "ring"]))  # at most 10 * MAX_LISTS rows
+        key = ["list", "ring", "mb", "qb"]
+        m = held.join(sizes, ["list", "ring"]).withColumn("mb", own("m_blocks")).withColumn("qb", F.explode(turn("q_blocks"))).select(*key, "id", "packed", "code")
+        q = queries.join(sizes, ["list", "ring"]).withColumn("qb", own("q_blocks")).withColumn("mb", F.explode(turn("m_blocks"))).select(*key, "id", "packed")
+        both = m.unionByName(q, allowMissingColumns=True)
+        return both.groupBy(*key).applyInPandas(answer, "id string, other string, similarity double")
+
+    # The own list first, in one ring. A ring of another list can hold nothing better than the centroid's inner product plus the
+    # ring's largest distance from it, and hardly anything near that; it is asked only where REACH of it attains the k-th best so far.
+    one = members.withColumn("ring", F.lit(0))
+    first = cut(ask(one, one.select("id", "packed", "list", "ring")))
+    kth = first.groupBy("id").agg(F.get(F.sort_array(F.collect_list("similarity"), asc=False), F.lit(k - 1)).alias("kth"))
+    rings = F.broadcast(cut(members.groupBy("list", "ring").agg(F.max("radius").alias("reach"))))  # at most 10 * MAX_LISTS rows
+    asked = indexed.join(kth, "id", "left").select("id", "packed", "kth", F.explode(F.slice(F.arrays_zip("asks", "inner"), 2, probes)).alias("p"))
+    asked = asked.select("id", "packed", "kth", F.col("p.asks").alias("list"), F.col("p.inner").alias("inner")).join(rings, "list")
+    second = ask(members, cut(asked.where(f"kth is null or inner + {REACH} * reach >= kth").select("id", "packed", "list", "ring")))
+    found = first.unionByName(second)
     # at most k * probes * blocks rows per id
     ranked = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))), 1, k).alias("top"))
     return ranked.select("id", F.posexplode("top").alias("rank", "t")).select("id", F.col("t.other").alias("other"), (-F.col("t.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))

@@ -38,9 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Round-robin the rows so that a Python stage behind a few-file scan uses all cores."""
-    return df.repartition(parallelism(df.sparkSession) * factor)
+def spread(scan: DataFrame, factor: int = 1) -> DataFrame:
+    """Let a Python stage behind a scan use all cores.
+
+    A scan of enough splits stays as it is, without a shuffle of the texts; only one of few splits is dealt out round-robin.
+    ``scan`` must not contain a shuffle, as its splits are counted by planning it.
+    """
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    enough = parallelism(scan.sparkSession)
+    return scan if splits >= enough else scan.repartition(enough * factor)
 
 
 def keep(df: DataFrame) -> DataFrame:

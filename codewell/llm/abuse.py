@@ -334,11 +334,12 @@ def _threshold(machine: FactorizationMachine, streams: list[np.ndarray], labels:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
     """``(text, label)`` of at most MAX_LABELLED documents of each class, chosen by hash."""
-    agreed = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi")
-    rated = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(agreed.select("doc", F.col("lo").cast("int").alias("label")), "doc")
-    once = rated.dropDuplicates(["doc"])
-    some = lambda c: once.where(F.col("label") == c).orderBy(F.xxhash64("doc"), "doc").limit(MAX_LABELLED)
-    return some(0).unionByName(some(1)).select("doc", "text", "label")
+    agreed = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc"))
+    agreed = agreed.agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("hi")).where("label = hi").drop("hi")
+    some = lambda c: agreed.where(F.col("label") == c).orderBy(F.xxhash64("doc"), "doc").limit(MAX_LABELLED)
+    chosen = F.broadcast(some(0).unionByName(some(1)))  # at most 2 * MAX_LABELLED rows, so the texts are not shuffled
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    return texts.join(chosen, "doc").dropDuplicates(["doc"]).select("doc", "text", "label")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> bytes:

@@ -39,15 +39,19 @@ def query_vector(terms: DataFrame, idf: DataFrame, scheme: str = weights.LOG10)
     )
 
 
-def scores(vector: DataFrame, post: DataFrame, item_norms: DataFrame, scheme: str = weights.LOG10) -> DataFrame:
-    """``(query_id, chunk_id, cosine, coverage, rank_key, first_pos)`` of every chunk that holds a query term."""
-    asked = broadcast_within(vector, QUERY_BROADCAST)
-    hit = post.join(asked, "term").select(
-        "query_id", "chunk_id", "pos", "n_terms", "query_norm", (F.col("weight") * weights.weight(post["tf"], F.col("idf"), scheme)).alias("part")
-    )
-    summed = hit.groupBy("query_id", "chunk_id").agg(
-        F.sum("part").alias("dot"), F.count(F.lit(1)).alias("matched"), F.min("pos").alias("first_pos"), F.first("n_terms").alias("n_terms"), F.first("query_norm").alias("query_norm")
-    )
+def scores(vector: DataFrame, post: DataFrame, item_norms: DataFrame, scheme: str = weights.LOG10, many: bool = False) -> DataFrame:
+    """``(query_id, chunk_id, cosine, coverage, rank_key, first_pos)`` of every chunk that holds a query term.
+
+    With ``many`` queries the postings are partitioned by chunk first: the products, many times the postings, are then summed where
+    they arise instead of being shuffled.
+    """
+    # per joined row one product; what belongs to the query as a whole is joined after the sum
+    held = post.select("term", "chunk_id", weights.weight(F.col("tf"), F.lit(1.0), scheme).alias("_w"))
+    held = held.repartition("chunk_id") if many else held
+    asked = broadcast_within(vector.select("query_id", "term", "pos", (F.col("weight") * F.col("idf")).alias("_q")), QUERY_BROADCAST)
+    hit = held.join(asked, "term").select("query_id", "chunk_id", "pos", (F.col("_q") * F.col("_w")).alias("part"))
+    summed = hit.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("dot"), F.count(F.lit(1)).alias("matched"), F.min("pos").alias("first_pos"))
+    summed = summed.join(broadcast_within(vector.select("query_id", "n_terms", "query_norm").distinct(), QUERY_BROADCAST), "query_id")
     normed = summed.join(item_norms.where("norm_value > 0"), "chunk_id").where("query_norm > 0")
     cosine = weights.cosine(F.col("dot"), F.col("query_norm"), F.col("norm_value"))
     coverage = F.col("matched") / F.col("n_terms")

@@ -66,12 +66,12 @@ class Index:
         self.postings = postings.postings(counts, self.book)
         self.norms = postings.norms(self.postings, self.idf)
 
-    def scores(self, queries: DataFrame) -> DataFrame:
+    def scores(self, queries: DataFrame, many: bool = False) -> DataFrame:
         vector = rank.query_vector(rank.query_terms(queries), self.idf)
-        return rank.scores(vector, self.postings, self.norms)
+        return rank.scores(vector, self.postings, self.norms, many=many)
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return rank.top_k(rank.best_per_document(self.scores(queries), self.metadata), k)
+    def search(self, queries: DataFrame, k: int, many: bool = False) -> DataFrame:
+        return rank.top_k(rank.best_per_document(self.scores(queries, many), self.metadata), k)
 
 
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def text_search_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark texts as queries in one plan, five songs each."""
     queries = table(spark, sf_dir, "benchmark").where("text is not null").dropDuplicates(["item_id"]).select(F.col("item_id").alias("query_id"), "text")
-    top = Index(spark, sf_dir).search(queries, 5)
+    top = Index(spark, sf_dir).search(queries, 5, many=True)
     return top.select("query_id", "place", "document_id", "chunk_id", F.round("rank_key", 6).alias("rank_key"))
 
 

@@ -156,6 +156,16 @@ class FactorizationMachine:
         self.bias, self.threshold = bias, threshold
         self.w = np.zeros(BUCKETS + 1, np.float32) if w is None else w
         self.v = np.zeros((BUCKETS + 1, RANK), np.float32) if v is None else v
+        self._table: np.ndarray | None = None
+
+    def set_weights(self, w: np.ndarray) -> None:
+        self.w, self._table = w, None
+
+    def table(self) -> np.ndarray:
+        """Weight, vector and squared length of every bucket side by side."""
+        if self._table is None:
+            self._table = np.concatenate([self.w[:, None], self.v, (self.v**2).sum(1, keepdims=True)], axis=1)
+        return self._table
 
     def window_scores(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Raw scores of all windows of one text with their starts and ends."""
@@ -166,10 +176,10 @@ class FactorizationMachine:
             c = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
             return c[hi] - c[lo]
 
-        rows = lambda i: np.concatenate([self.w[i][:, None], self.v[i], (self.v[i] ** 2).sum(1, keepdims=True)], axis=1)
-        s = sums(rows(one) + rows(class_buckets(hashes)), a, b)
+        table = self.table()
+        s = sums(table[one] + table[class_buckets(hashes)], a, b)
         if len(two):
-            s += sums(rows(two), a, np.maximum(a, b - 1))
+            s += sums(table[two], a, np.maximum(a, b - 1))
         return self.bias + s[:, 0] + 0.5 * ((s[:, 1:-1] ** 2).sum(1) - s[:, -1]), a, b
 
     def score(self, hashes: np.ndarray) -> float:
@@ -185,9 +195,9 @@ class FactorizationMachine:
         base = np.cumsum(n) - n
         flat = np.concatenate([t for t in texts if len(t)])
         one, two = buckets(flat)
-        rows = lambda i: np.concatenate([self.w[i][:, None], self.v[i], (self.v[i] ** 2).sum(1, keepdims=True)], axis=1)
+        table = self.table()
         prefix = lambda x: np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
-        singles, pairs = prefix(rows(one) + rows(class_buckets(flat))), prefix(rows(two))
+        singles, pairs = prefix(table[one] + table[class_buckets(flat)]), prefix(table[two])
         before = 0
         for length, step in WINDOWS:
             for docs, short in ((np.flatnonzero(n > length), False), (np.flatnonzero((n <= length) & (n > before)), True)):
@@ -215,7 +225,7 @@ class FactorizationMachine:
         """Logistic loss, AdaGrad over mini-batches."""
         rng, batch = np.random.default_rng(seed), min(256, max(16, len(x) // 60))
         self.v[:-1] = rng.normal(0, 0.02, (BUCKETS, RANK)).astype(np.float32)
-        self.w[:], self.bias = 0, -2.0
+        self.w[:], self.bias, self._table = 0, -2.0, None
         gw, gv, gb = np.full(BUCKETS + 1, 0.1, np.float32), np.full((BUCKETS + 1, RANK), 0.1, np.float32), 0.1
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -283,7 +293,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3)
             counts[c, np.unique(np.concatenate([one, two, class_buckets(streams[k])]))] += 1
     counts[:, BUCKETS] = 0
     odds = np.log((counts[1] + 0.5) / (len(pos) + 1)) - np.log((counts[0] + 0.5) / (len(neg) + 1))
-    machine.w = np.where(counts[1] >= min(3, 1 + len(pos) // 10), np.maximum(odds, 0), 0).astype(np.float32)
+    machine.set_weights(np.where(counts[1] >= min(3, 1 + len(pos) // 10), np.maximum(odds, 0), 0).astype(np.float32))
     parts = []
     for k in neg:  # some windows of every negative document
         a, b = spans(len(streams[k]))

@@ -213,6 +213,8 @@ def channel(variant: str, canonical: str, given: frozenset[str] = frozenset()) -
     if kv != kc or not tv or not tc:
         return None
     best = _align(tv, tc, bool(kc), given)
+    if best is None and given:  # a frequent surname is the core where the given name is unknown or an initial
+        best = _align(tv, tc, bool(kc), frozenset())
     for x, y in ((tv[1:], tc), (tv, tc[1:])):  # "Th." may be an article
         if best is None and x and y and (tv[0] == "th." or tc[0] == "th."):
             best = _align(x, y, bool(kc), given)

@@ -52,3 +52,17 @@ def test_shared_tokens_are_split_not_dropped(spark):
     got = {r.name: r.canonical for r in link_names(spark.createDataFrame(rows, "name string")).collect()}
     assert got["Bamabo Garciano"] == "Bamabo Garciamo"  # a tie goes to the smaller string
     assert got["B. Garciano"] == "Bamabo Garciamo" and len(set(got.values())) == 61
+
+
+def _linked(spark, *more, surname="Garciano"):
+    """Canonical forms where the surname stands in more than SHARED_TOKEN spellings."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"{''.join(rng.choice('acdfgijklnostu') for _ in range(7)).title()} {surname}",) for _ in range(60)] + [(m,) for m in more]
+    return {r.name: r.canonical for r in link_names(spark.createDataFrame(rows, "name string"), "name").collect()}
+
+
+def test_frequent_surname_is_core_beside_an_initial(spark):
+    got = _linked(spark, "Xyz Garciano", "X. Garciano", "Hiroshi Garciano", "H. Garciano")
+    assert got["X. Garciano"] == "Xyz Garciano" and got["H. Garciano"] == "Hiroshi Garciano" and len(set(got.values())) == 62

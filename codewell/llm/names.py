@@ -8,7 +8,8 @@ form a forest, whose roots are the entities.
 
 Candidates come from an equi-join on keys of the rare tokens: the sound-alike skeleton of a token, the token, and all their single
 deletions, so that one insertion, deletion, substitution or transposition still meets. Tokens that many spellings share
-(given names, frequent surnames) are keyed together with the initials of the other tokens, which splits such blocks.
+(given names, frequent surnames) are keyed together with the initials of the other tokens and of their full forms and
+nicknames, which splits such blocks.
 
 Defined results: NULL, empty and blank names are no names; blanks around are removed; repeated rows only raise the count;
 ties of the posterior go to the better ranked form, ties of rank to the smaller string; names without any letter or of any
@@ -271,6 +272,13 @@ def _context(v: tuple[str, ...], c: tuple[str, ...], group: bool) -> float | Non
     return total - 1.5 * (len(c) - k)
 
 
+@lru_cache(100_000)
+def _initials(token: str) -> frozenset[str]:
+    """First letters of the token, its full forms and its nicknames."""
+    bare = token.rstrip(".")
+    return frozenset(w[0] for w in (bare, *_FULL.get(bare, ()), *NICKNAMES.get(bare, "").split()))
+
+
 def keys_of(name: str, shared: set[str]) -> set[str]:
     """Blocking keys of a spelling; ``shared`` holds those of its tokens that many spellings have."""
     kinds, rest = parse(name)
@@ -279,7 +287,8 @@ def keys_of(name: str, shared: set[str]) -> set[str]:
         if _is_short(t) or len(t) < 4:
             continue
         forms = {w[:k] + w[k + 1 :] for w in (skeleton(t), t) for k in range(len(w)) if len(w) >= 4} | {skeleton(t), t}
-        initials = {o[0] for j, o in enumerate(rest) if j != i} | {"/" + k for k in kinds}
+        initials = {x for j, o in enumerate(rest) if j != i for x in _initials(o)} | {"/" + k for k in kinds}
+        initials |= {w[0] for w, k in KINDS.items() if k in kinds}  # an initial may stand for the kind
         out |= {f"{f}|{x}" for f in forms for x in initials}  # meets mistyped forms of shared tokens
         if t not in shared:
             out |= forms

@@ -66,3 +66,10 @@ def _linked(spark, *more, surname="Garciano"):
 def test_frequent_surname_is_core_beside_an_initial(spark):
     got = _linked(spark, "Xyz Garciano", "X. Garciano", "Hiroshi Garciano", "H. Garciano")
     assert got["X. Garciano"] == "Xyz Garciano" and got["H. Garciano"] == "Hiroshi Garciano" and len(set(got.values())) == 62
+
+
+def test_nicknames_of_other_initials_meet_at_a_frequent_surname(spark):
+    pairs = [("Bob", "Robert"), ("Pepe", "Jose"), ("Lalo", "Eduardo"), ("Peggy", "Margaret")]
+    got = _linked(spark, *(f"{n} Martinez" for p in pairs for n in p), "Quartet Martinez", "Q. Martinez", surname="Martinez")
+    assert all(got[f"{a} Martinez"] == got[f"{b} Martinez"] == f"{b} Martinez" for a, b in pairs)
+    assert got["Q. Martinez"] == "Quartet Martinez" and len(set(got.values())) == 65

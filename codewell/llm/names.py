@@ -9,7 +9,7 @@ form a forest, whose roots are the entities.
 Candidates come from an equi-join on keys of the rare tokens: the sound-alike skeleton of a token, the token, and all their single
 deletions, so that one insertion, deletion, substitution or transposition still meets. Tokens that many spellings share
 (given names, frequent surnames) are keyed together with the initials of the other tokens and of their full forms and
-nicknames, which splits such blocks.
+nicknames, which splits such blocks; so are tokens of two or three letters. The name without case and accents is a key, too.
 
 Defined results: NULL, empty and blank names are no names; blanks around are removed; repeated rows only raise the count;
 ties of the posterior go to the better ranked form, ties of rank to the smaller string; names without any letter or of any
@@ -206,6 +206,8 @@ def channel(variant: str, canonical: str, given: frozenset[str] = frozenset()) -
 
     ``given`` holds further tokens that are shared by many names, as given names are.
     """
+    if (folded := fold(variant)) == fold(canonical) and any(c.isalpha() for c in folded):  # only case or accents differ
+        return 0.0
     kv, tv = parse(variant)
     kc, tc = parse(canonical)
     penalty = 0.0
@@ -284,15 +286,15 @@ def keys_of(name: str, shared: set[str]) -> set[str]:
     kinds, rest = parse(name)
     out = set()
     for i, t in enumerate(rest):
-        if _is_short(t) or len(t) < 4:
+        if _is_short(t):
             continue
-        forms = {w[:k] + w[k + 1 :] for w in (skeleton(t), t) for k in range(len(w)) if len(w) >= 4} | {skeleton(t), t}
+        forms = {w[:k] + w[k + 1 :] for w in (skeleton(t), t) for k in range(len(w)) if len(w) >= min(4, max(3, len(t)))} | {skeleton(t), t}
         initials = {x for j, o in enumerate(rest) if j != i for x in _initials(o)} | {"/" + k for k in kinds}
         initials |= {w[0] for w, k in KINDS.items() if k in kinds}  # an initial may stand for the kind
         out |= {f"{f}|{x}" for f in forms for x in initials}  # meets mistyped forms of shared tokens
-        if t not in shared:
+        if t not in shared and len(t) >= 4:
             out |= forms
-    return out
+    return out | {"=" + fold(name)}
 
 
 def link_names(names: DataFrame, name: str = "name", weight: str | None = None) -> DataFrame:
@@ -307,7 +309,7 @@ def link_names(names: DataFrame, name: str = "name", weight: str | None = None)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(s, n, completeness(s), t) for s, n in zip(b["name"], b["n"], strict=True) for t in dict.fromkeys(parse(s)[1])]
+            rows = [(s, n, completeness(s), t) for s, n in zip(b["name"], b["n"], strict=True) for t in dict.fromkeys(parse(s)[1]) or [None]]
             yield pd.DataFrame(rows, columns=["name", "n", "full", "token"])
 
     tokened = cut(spellings.mapInPandas(tokens, "name string, n long, full int, token string"))

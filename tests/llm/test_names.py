@@ -73,3 +73,10 @@ def test_nicknames_of_other_initials_meet_at_a_frequent_surname(spark):
     got = _linked(spark, *(f"{n} Martinez" for p in pairs for n in p), "Quartet Martinez", "Q. Martinez", surname="Martinez")
     assert all(got[f"{a} Martinez"] == got[f"{b} Martinez"] == f"{b} Martinez" for a, b in pairs)
     assert got["Q. Martinez"] == "Quartet Martinez" and len(set(got.values())) == 65
+
+
+def test_names_of_short_tokens_only(spark):
+    rows = ["Ana Paz", "ANA PAZ", "Aná Paz", "A. Paz", "Li Na", "LI NA", "Bob Roy", "Fob Roy", "ÁBC", "abc", "Los Bros", "LOS BROS", "??", "Al Ey"]
+    got = {r.name: r.canonical for r in link_names(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
+    assert len({got[n] for n in rows[:4]}) == 1 and all(got[a] == got[b] for a, b in (rows[4:6], rows[6:8], rows[8:10], rows[10:12]))
+    assert len(set(got.values())) == 7

@@ -3,8 +3,9 @@
 Every distinct spelling is ranked as a candidate canonical form by how much of the name it spells out and how often it
 occurs. A variant is explained by a better ranked spelling through a channel of typing errors, sound-alike letters, dropped
 accents, abbreviations, initials, nicknames, dropped middle names and reordered parts; the frequency of the canonical form
-is the prior. Each variant is attached to the form of maximum posterior, unless standing alone is more likely. Attachments
-form a forest, whose roots are the entities.
+is the prior. Each variant is attached to the form of maximum posterior, unless standing alone is more likely. Where a fuller
+form is too rare to be the source of a spelling, it is judged as that spelling's variant; the attachment still goes to the
+fuller form, and to one only, as an initial would merge different people. Attachments form a forest, whose roots are the entities.
 
 Candidates come from an equi-join on keys of the rare tokens: the sound-alike skeleton of a token, the token, and all their single
 deletions, so that one insertion, deletion, substitution or transposition still meets. Tokens that many spellings share
@@ -335,13 +336,19 @@ def link_names(names: DataFrame, name: str = "name", weight: str | None = None)
             rows = []
             for s, n, other, cn, full, given in b[["name", "n", "c", "cn", "cfull", "given"]].itertuples(index=False):
                 ll = channel(s, other, frozenset(given))
-                if ll is not None and (post := math.log(cn / n) + ll) > ALONE:
-                    rows.append((s, other, post, full, cn))
-            yield pd.DataFrame(rows, columns=["name", "parent", "post", "full", "cn"])
-
-    scored = pairs.mapInPandas(score, "name string, parent string, post double, full int, cn long")
-    attached = scored.groupBy("name").agg(F.max(F.struct("post", "full", "cn", "parent")).alias("best")).select(
-        "name", F.col("best.parent").alias("parent"), F.col("best.post").alias("log_posterior")
+                if ll is None:
+                    continue
+                odds = post = math.log(cn / n) + ll
+                if post <= ALONE and cn < n:  # the fuller, rare spelling as a variant of the frequent one
+                    back = channel(other, s, frozenset(given))
+                    odds = post if back is None else math.log(n / cn) + back
+                if odds > ALONE:
+                    rows.append((s, other, post, odds, full, cn))
+            yield pd.DataFrame(rows, columns=["name", "parent", "post", "odds", "full", "cn"])
+
+    scored = pairs.mapInPandas(score, "name string, parent string, post double, odds double, full int, cn long")
+    attached = scored.groupBy("name").agg(F.max(F.struct("post", "full", "cn", "parent", "odds")).alias("best")).select(
+        "name", F.col("best.parent").alias("parent"), F.col("best.odds").alias("log_posterior")
     )
     forest = cut(spellings.join(attached, "name", "left"))
     return _roots(forest)

@@ -80,3 +80,10 @@ def test_names_of_short_tokens_only(spark):
     got = {r.name: r.canonical for r in link_names(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
     assert len({got[n] for n in rows[:4]}) == 1 and all(got[a] == got[b] for a, b in (rows[4:6], rows[6:8], rows[8:10], rows[10:12]))
     assert len(set(got.values())) == 7
+
+
+def test_hot_short_spelling_and_rare_full_one(spark):
+    rows = [("P. Hotzmann", 300_000), ("Peter Hotzmann", 3), ("Paul Hotzmann", 2), ("Q. Hotzmann", 300_000)]
+    got = {r.name: (r.canonical, r.log_posterior) for r in link_names(spark.createDataFrame(rows, "name string, w long"), "name", "w").collect()}
+    assert got["P. Hotzmann"][0] == "Peter Hotzmann" and got["P. Hotzmann"][1] > 0
+    assert len({c for c, _ in got.values()}) == 3

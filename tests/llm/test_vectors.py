@@ -110,3 +110,16 @@ def test_many_blocks(spark, monkeypatch):
     for r in nearest_neighbours(frame(spark, rows), DIM, 5, parts=20, probes=8).collect():
         got.setdefault(r.id, set()).add(r.other)
     assert sum(len(got[i] & set(want[i])) for i in ids) >= 0.9 * 5 * len(ids)
+
+
+def test_links_without_cosine_do_not_hide_a_group(spark):
+    def peak(at, more):
+        v = np.zeros(DIM)
+        v[:10] = 1
+        v[at] = 10 + more
+        return v.tolist()
+
+    rows = [(f"a{k}", peak(0, 0.1 * k)) for k in range(5)] + [("z", peak(9, 0))]  # equal positions, other weights
+    members, comps = cluster(frame(spark, rows), DIM, 0.7)
+    assert {(r.component, r.size, r.tight) for r in comps.collect()} == {("a0", 5, True), ("z", 1, True)}
+    assert {(r.id, r.component) for r in members.collect()} == {(f"a{k}", "a0") for k in range(5)} | {("z", "z")}

@@ -41,7 +41,9 @@ GROUP_WORDS = 400_000
 PARTITIONS, MISS = (24, 40, BLOCK), 1e-4
 #: Item words per slice: a slice's tables take a few dozen MB in each worker.
 SLICE_WORDS = 400_000
-_MARKUP = re.compile(r"<[^<>]{0,200}>|\[/?[^\]\[\n]{0,12}\]|\((?:x ?\d+|\d+ ?x|bis)\)|(?<!\w)(?:x\d+|\d+x)(?!\w)", re.IGNORECASE)
+#: A tag: one word, or a name and attributes with "="; a short comment or declaration. Other text between < and > is text.
+_TAG = r"""<[^\s<>]{1,60}>|</?[a-z][\w:.-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]{0,200}"|'[^'<>]{0,200}'|[^\s<>"']{1,200})){0,20}\s*/?>|<![^\s<>]*(?:\s+[^\s<>]+){0,8}\s*>"""
+_MARKUP = re.compile(_TAG + r"|\[/?[^\]\[\n]{0,12}\]|\((?:x ?\d+|\d+ ?x|bis)\)|(?<!\w)(?:x\d+|\d+x)(?!\w)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 

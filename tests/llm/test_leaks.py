@@ -76,3 +76,12 @@ def test_every_window_lies_in_a_block():
     for a in range(len(text) - 22):
         index = ItemIndex([(1, " ".join([*text[a : a + 5], "new", *text[a + 7 : a + 21]]))], 20, 2)
         assert index.search(hasher.of(text)), a
+
+
+def test_text_between_angle_brackets_is_searched(spark):
+    passage = " ".join(f"word{k}" for k in range(20))
+    texts = [f"so <{passage}> it", f"so &lt;{passage}&gt; it", f"1 < 2 {passage} 3 > 2"]
+    texts.append('so <p>word0</p> <br /> <A HREF="x y" class=z\n> <|end|> <!-- a note --> ' + passage[6:])
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc_id string, text string")
+    items = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    assert sorted((r.doc_id, r.edits) for r in find_leaks(docs, items).collect()) == [(str(k), 0) for k in range(4)]

@@ -1,12 +1,22 @@
 """Most similar vectors for every vector: inverted file with product-quantised residuals and exact reranking.
 
-A bounded sample of ``TRAIN`` vectors, chosen by hash, trains coarse centroids and, on the residuals, one small codebook per
-sub-space. Every vector is indexed under its nearest centroid by the codes of its residual, and asks that list and those of
-the centroids foremost by inner product or nearness, ``probes`` in all, but only rings of them that can hold a better one. A list is answered by asymmetric distance tables (inner products of the query's sub-vectors with
-all codewords); the best ``rerank`` of them, and all others that the tables' measured error may hide behind the k-th best, are reranked by the exact
-cosine in double precision, rounded to 6 digits, ties by the smaller id. Lists are cut into blocks of members and blocks of queries by their counted sizes, so a list that owns a third
-of all rows becomes many tasks of bounded size. What is broadcast are centroids and codebooks, at most
-``MAX_LISTS`` * dim + 256 * dim numbers whatever the data.
+A bounded sample of ``TRAIN`` vectors, chosen by hash, trains coarse directions and, on the residuals, one small codebook per
+sub-space. The number of lists follows the number of vectors, ``LIST`` members each on average: up to ``TOP`` directions of
+their own, beyond that each direction is refined by up to ``SUB`` shared offsets, so that the model stays small while there
+can be TOP * SUB lists. A vector x in the list of direction e is u * e plus a residual, u being their inner product; the
+residual is kept as one code per sub-space.
+
+Every vector asks its own list first. It then asks those of the ``probes`` foremost lists that can hold a better one: with
+a and u the inner products of query and member with e, their similarity is at most a*u + sqrt(1-a*a) * sqrt(1-u*u), and hardly
+ever above the same with ``REACH`` before the second term. Members are kept in two rings, near and far by u, and asked by ring.
+A list is answered by asymmetric distance tables (inner products of the query's sub-vectors with all codewords); the foremost
+``rerank`` members, and all others that the tables' measured error may hide behind the k-th best, are reranked by the exact
+cosine in double precision, rounded to 6 digits, ties by the smaller id.
+
+Lists are cut into blocks of members and of queries by their counted sizes, so a list that owns a third of all rows becomes many
+tasks of bounded size. Of equal vectors only the k + 1 smallest ids are indexed, which are enough for every query; the others
+have k of those as their neighbours and ask nothing. What is broadcast are the directions, offsets and codebooks, whose size
+does not grow with the data.
 
 Defined results: unusable vectors (NULL, wrong length, NaN, infinite, all zero) and NULL ids take no part; an id counts once;
 fewer than k others give as many as there are; equal vectors are neighbours of similarity 1; an empty table gives an empty
@@ -16,7 +26,6 @@ frame.
 from __future__ import annotations
 
 import io
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,26 +33,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codewell.llm.vectors import unit_rows, unpack
-from codewell.runtime import cut
+from codewell.llm.vectors import copies, unit_rows, unpack
+from codewell.runtime import broadcast_within, cut, keep
 
-#: Training sample, upper bound of coarse lists, and members or queries in a block.
-TRAIN, MAX_LISTS, BLOCK = 10_000, 1024, 1500
+#: Training sample, members of a list on average, directions, offsets of each, and members or queries in a block.
+TRAIN, LIST, TOP, SUB, BLOCK = 10_000, 200, 1024, 4096, 2000
 #: Members within so many standard errors of the tables below the k-th best are reranked, too.
-MARGIN = 2.0
-#: Width of the rings around a centroid into which a list's members are parted.
-RING = 0.15
-#: Part of a ring's distance that a query may reach; 1 makes the bound exact, less trades recall for fewer lists asked.
-REACH = 0.7
+MARGIN = 2.5
+#: Inner product with the direction that parts near members from far ones, and the reach of residuals (1 makes the bound exact).
+NEAR, REACH = 0.6, 0.8
+_ANSWER = "id string, other string, similarity double"
+_MIXED = ("id", "other", "similarity", "packed", "list", "ring")
 
 
-def kmeans(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """Lloyd's algorithm; a centroid left empty takes the place of a random point."""
+def kmeans(points: np.ndarray, k: int, rounds: int, seed: int, directions: bool = False) -> np.ndarray:
+    """Lloyd's algorithm; a centroid left empty takes the place of a random point. ``directions`` are kept at length 1."""
     rng = np.random.default_rng(seed)
     k = min(k, len(points))
     centroids = points[rng.choice(len(points), k, replace=False)].copy()
     for _ in range(rounds):
-        near = nearest(points, centroids)
+        near = (points @ centroids.T).argmax(1) if directions else nearest(points, centroids)
         order = np.argsort(near, kind="stable")
         counts = np.bincount(near, minlength=k)
         filled = np.flatnonzero(counts)
@@ -51,6 +60,8 @@ def kmeans(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
         centroids[filled] = np.add.reduceat(points[order], starts, axis=0) / counts[filled, None]
         empty = np.flatnonzero(counts == 0)
         centroids[empty] = points[rng.choice(len(points), len(empty))]
+        if directions:
+            centroids /= np.maximum(np.sqrt((centroids * centroids).sum(1, keepdims=True)), 1e-12)
     return centroids
 
 
@@ -60,182 +71,299 @@ def nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 class Quantizer:
-    """Coarse centroids, residual codebooks (sub-spaces, 256, width), and the spread of the tables' error."""
+    """Directions, their offsets, residual codebooks (sub-spaces, 256, width), and the spread of the tables' error for a code that
+    loses a vector of length 1."""
 
-    def __init__(self, centroids: np.ndarray, books: np.ndarray, error: float = 0.0):
-        self.centroids, self.books, self.error = centroids, books, error
+    def __init__(self, top: np.ndarray, sub: np.ndarray, books: np.ndarray, error: float = 0.0):
+        self.top, self.sub, self.books, self.error = top, sub, books, error
+        self.scale = 1 / np.sqrt(np.maximum(1 + 2 * top @ sub.T + (sub * sub).sum(1), 1e-12))  # of direction plus offset
 
     @classmethod
     def train(cls, x: np.ndarray, lists: int, parts: int) -> Quantizer:
-        centroids = kmeans(x, lists, 10, 1)
-        near = nearest(x, centroids)
-        residual = x - centroids[near]
-        width = x.shape[1] // parts
-        books = [kmeans(residual[:, m * width : (m + 1) * width], 256, 6, m) for m in range(parts)]
-        trained = cls(centroids, np.stack(books))
-        order = np.argsort(near, kind="stable")  # neighbours in this order mostly share a list
+        top = kmeans(x, min(lists, TOP), 4, 1, directions=True)
+        near = (x @ top.T).argmax(1)
+        offsets = min(SUB, -(-lists // len(top)), max(1, len(x) // 4))
+        sub = kmeans(x - top[near], offsets, 4, 2) if offsets > 1 else np.zeros((1, x.shape[1]), x.dtype)
+        model = cls(top, sub, np.zeros((parts, 1, x.shape[1] // parts), x.dtype))
+        own, u = model.own(x)
+        residual = x - u[:, None] * model.direction(own)
+        width, half = x.shape[1] // parts, residual[: max(256, len(x) // 2)]
+        model.books = np.stack([kmeans(half[:, m * width : (m + 1) * width], 256, 4, m) for m in range(parts)])
+        order = np.argsort(own, kind="stable")  # neighbours in this order mostly share a list
         a, b = order[:-1], order[1:]
-        codes = trained.codes(x[b], near[b])
-        lost = residual[b] - np.concatenate([trained.books[m][codes[:, m]] for m in range(parts)], axis=1)
-        trained.error = float(np.std((x[a] * lost).sum(1))) if len(a) else 0.0
-        return trained
-
-    def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        residual, width = x - self.centroids[lists], self.books.shape[2]
-        return np.stack([nearest(residual[:, m * width : (m + 1) * width], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
-
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(sub-spaces, queries, codewords): inner products of a query's sub-vectors with all codewords."""
+        lost = residual[b] - model.decode(model.codes(x[b], own[b], u[b])[0])
+        model.error = float(np.std((x[a] * lost).sum(1) / np.maximum(np.sqrt((lost * lost).sum(1)), 1e-6))) if len(a) else 0.0
+        return model
+
+    def direction(self, lists: np.ndarray) -> np.ndarray:
+        """Unit directions of lists."""
+        t, s = np.divmod(lists, len(self.sub))
+        return (self.top[t] + self.sub[s]) * self.scale[t, s][:, None]
+
+    def foremost(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of greatest inner product, best first, and these products; lists of the four foremost directions are seen."""
+        inner = x @ self.top.T
+        if len(self.sub) == 1:
+            lists, score = np.broadcast_to(np.arange(len(self.top)), inner.shape), inner
+        else:
+            t = np.argsort(-inner, axis=1)[:, :4]
+            score = ((np.take_along_axis(inner, t, 1)[:, :, None] + (x @ self.sub.T)[:, None, :]) * self.scale[t]).reshape(len(x), -1)
+            lists = (t[:, :, None] * len(self.sub) + np.arange(len(self.sub))).reshape(len(x), -1)
+        if probes < score.shape[1]:
+            few = np.argpartition(-score, probes, axis=1)[:, :probes]
+            lists, score = np.take_along_axis(lists, few, 1), np.take_along_axis(score, few, 1)
+        order = np.lexsort((lists, -score), axis=1)
+        return np.take_along_axis(lists, order, 1), np.take_along_axis(score, order, 1)
+
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's list and its inner product with the direction."""
+        step = max(1, 4_000_000 // (4 * len(self.sub) + len(self.top)))
+        found = [self.foremost(x[a : a + step], 1) for a in range(0, len(x), step)]
+        return np.concatenate([f[0][:, 0] for f in found]), np.concatenate([f[1][:, 0] for f in found])
+
+    def codes(self, x: np.ndarray, lists: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The residuals' codes and the lengths of what they lose."""
+        residual, width = x - u[:, None] * self.direction(lists), self.books.shape[2]
+        codes = np.stack([nearest(residual[:, m * width : (m + 1) * width], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
+        lost = residual - self.decode(codes)
+        return codes, np.sqrt((lost * lost).sum(1))
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that the codes stand for."""
+        return np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], axis=1)
+
+    def tables(self, q: np.ndarray) -> Iterator[np.ndarray]:
+        """Per sub-space (codewords, queries): inner products of all codewords with the queries' sub-vectors."""
         width = self.books.shape[2]
-        return np.stack([q[:, m * width : (m + 1) * width] @ b.T for m, b in enumerate(self.books)])
+        for m, book in enumerate(self.books):
+            yield book @ q[:, m * width : (m + 1) * width].T
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, c=self.centroids, b=self.books, e=self.error)
+        np.savez(out, t=self.top, s=self.sub, b=self.books, e=self.error)
         return out.getvalue()
 
     @classmethod
     def loads(cls, raw: bytes) -> Quantizer:
         with np.load(io.BytesIO(raw)) as z:
-            return cls(z["c"], z["b"], float(z["e"]))
+            return cls(z["t"], z["s"], z["b"], float(z["e"]))
+
+
+_LOADED: dict[int, Quantizer] = {}
+
 
+def loaded(raw: bytes) -> Quantizer:
+    """The worker's model; a Python process serves many groups and unpacks it once."""
+    key = hash(raw)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Quantizer.loads(raw)
+    return _LOADED[key]
 
-def _best(quantizer: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_no: int, dim: int, k: int, rerank: int) -> pd.DataFrame:
-    """The k best members of one block for each query of one block."""
-    members = members.sort_values("id", kind="stable")  # so that stable sorts break ties by id
+
+def _best(model: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_no: int, dim: int, k: int, rerank: int, least: float) -> tuple[np.ndarray, ...]:
+    """Query row, member row and similarity of the k best members ``(id, packed, code, u, lost)`` of one block for each query."""
     ids, asked, n = members["id"].to_numpy(), queries["id"].to_numpy(), len(members)
     own = pd.Index(ids).get_indexer(asked)  # a query's own place, or -1
-    few_members = n <= rerank + k
-    if few_members:
-        dense = unit_rows(members["packed"].tolist(), dim)
-    else:
-        codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(n, -1)
-        rows, cols, vals = unpack(members["packed"].tolist())  # exact reranking reads the non-zero entries only
-        counts = np.bincount(rows, minlength=n)
-        width, at = int(counts.max()), np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        col, val = np.zeros((n, width), np.int64), np.zeros((n, width))
-        col[rows, at], val[rows, at] = cols, vals
-        val /= np.sqrt((val * val).sum(1))[:, None]
-    names, others, values = [], [], []
+    codes = np.ascontiguousarray(np.frombuffer(b"".join(members["code"]), np.uint8).reshape(n, -1).T)
+    rows, cols, vals = unpack(members["packed"])  # exact reranking reads the non-zero entries only
+    counts = np.bincount(rows, minlength=n)
+    width, at = int(counts.max()), np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    col, val = np.zeros((n, width), np.int64), np.zeros((n, width))
+    col[rows, at], val[rows, at] = cols, vals
+    val /= np.sqrt((val * val).sum(1))[:, None]
+    u, direction = members["u"].to_numpy(np.float32), model.direction(np.array([list_no]))[0]
+    order = np.argsort(ids, kind="stable")
+    by_id = np.empty(n, np.int64)
+    by_id[order] = np.arange(n)  # breaks ties
+    out = []
+
+    def exact(q: np.ndarray, r: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Similarities of pairs."""
+        value = np.empty(len(r))
+        for s in range(0, len(r), 20_000):
+            p = slice(s, s + 20_000)
+            value[p] = np.einsum("pw,pw->p", q[r[p][:, None], col[m[p]]], val[m[p]])
+        return np.round(value, 6)
+
+    # What a code loses, the tables cannot see: of a member of similarity t on average t * lost^2, give or take the measured error.
+    lost = members["lost"].to_numpy(np.float32)
+    spread, square = MARGIN * model.error * lost, lost * lost
     for a in range(0, len(asked), 128):
-        q, mine = unit_rows(queries["packed"].iloc[a : a + 128].tolist(), dim), own[a : a + 128]
+        q, mine = unit_rows(queries["packed"].iloc[a : a + 128], dim), own[a : a + 128]
+        single = q.astype(np.float32)
+        sums = u[:, None] * (single @ direction)
+        for code, table in zip(codes, model.tables(single), strict=True):
+            sums += table[code]  # whole rows of the table
+        score = np.ascontiguousarray(sums.T) + spread
         inside = np.flatnonzero(mine >= 0)
-        if few_members:
-            exact = np.round(q @ dense.T, 6)
-            exact[inside, mine[inside]] = -np.inf
-            near, exact = _top(np.broadcast_to(np.arange(n), exact.shape), exact, k)
-        else:
-            score = np.repeat((q.astype(np.float32) @ quantizer.centroids[list_no])[:, None], n, 1)
-            for m, table in enumerate(quantizer.tables(q.astype(np.float32))):
-                score += np.take(table, codes[:, m], axis=1)
-            score[inside, mine[inside]] = -np.inf
-            few = np.sort(np.argpartition(-score, rerank, axis=1)[:, :rerank], axis=1)
-            part = np.take_along_axis(q, col[few].reshape(len(q), -1), axis=1).reshape(len(q), rerank, width)
-            exact = np.round(np.einsum("qrw,qrw->qr", part, val[few]), 6)
-            floor = np.partition(exact, -k, axis=1)[:, -k] - MARGIN * quantizer.error
-            more = score >= floor[:, None]  # all that the error of the tables may hide
-            np.put_along_axis(more, few, False, axis=1)
-            near, best = _top(few, exact, k)
-            for r in np.flatnonzero(more.any(1)).tolist():
-                extra = np.flatnonzero(more[r])
-                every = np.concatenate([near[r], extra])
-                known = np.concatenate([best[r], np.round((q[r][col[extra]] * val[extra]).sum(1), 6)])
-                order = np.lexsort((every, -known))[:k]
-                near[r], best[r] = every[order], known[order]
-            exact = best
-        names.append(np.repeat(asked[a : a + 128], near.shape[1]))
-        others.append(ids[near.ravel()])
-        values.append(exact.ravel())
-    value = np.concatenate(values)
-    real = value > -np.inf  # without the query itself
-    return pd.DataFrame({"id": np.concatenate(names)[real], "other": np.concatenate(others)[real], "similarity": value[real]})
-
-
-def _ranks(x: np.ndarray) -> np.ndarray:
-    """Rank of each value in its row, from 0."""
-    out, order = np.empty(x.shape, np.int64), np.argsort(x, axis=1, kind="stable")
-    np.put_along_axis(out, order, np.broadcast_to(np.arange(x.shape[1]), x.shape), axis=1)
-    return out
-
-
-def _top(at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the k largest per row; ``at`` ascends in each row and breaks ties."""
-    order = np.argsort(-value, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(at, order, axis=1), np.take_along_axis(value, order, axis=1)
-
-
-def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100, probes: int = 8, rerank: int = 48) -> DataFrame:
-    """``(id, other, similarity, rank)``: the k most similar others of every vector of ``(id, packed)``."""
+        score[inside, mine[inside]] = -np.inf
+        few = np.argpartition(-score, rerank, axis=1)[:, :rerank] if rerank < n else np.broadcast_to(np.arange(n), (len(q), n))
+        hopeful = lambda goal: score + np.maximum(goal, 0) * square >= goal
+        r, m = np.nonzero(np.take_along_axis(hopeful(np.float32(least)), few, 1))
+        m = few[r, m]
+        value = exact(q, r, m)
+        # all that the error of the tables may hide behind the k-th best of these
+        first = np.full((len(q), k), -np.inf)
+        rank = np.lexsort((-value, r))
+        place = np.arange(len(r)) - np.searchsorted(r[rank], r[rank])
+        top = place < k
+        first[r[rank][top], place[top]] = value[rank][top]
+        more = hopeful(np.maximum(first[:, -1:], least).astype(np.float32))
+        more[np.isneginf(score)] = False
+        more[r, m] = False
+        r2, m2 = np.nonzero(more)
+        r, m, value = np.concatenate([r, r2]), np.concatenate([m, m2]), np.concatenate([value, exact(q, r2, m2)])
+        wanted = value >= least
+        r, m, value = r[wanted], m[wanted], value[wanted]
+        rank = np.lexsort((by_id[m], -value, r))
+        r, m, value = r[rank], m[rank], value[rank]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((a + r[top], m[top], value[top]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _bound(a: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Largest a*u + REACH * sqrt(1-a*a) * sqrt(1-u*u) for low <= u <= high."""
+    side = REACH * np.sqrt(np.maximum(0, 1 - a * a))
+    u = np.clip(a / np.maximum(np.sqrt(a * a + side * side), 1e-12), low, high)
+    return a * u + side * np.sqrt(1 - u * u)
+
+
+def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100, probes: int = 12, rerank: int = 20, least: float = -1.0) -> DataFrame:
+    """``(id, other, similarity, rank)``: the k most similar others of every vector of ``(id, packed)``, those of a similarity
+    of at least ``least``, which also bounds what is searched."""
     spark = packed.sparkSession
-    packed = cut(packed)
-    n = packed.count()
-    lists = int(min(MAX_LISTS, max(1, math.sqrt(n))))
-    parts = next(p for p in range(min(parts, dim), 0, -1) if dim % p == 0)
+    held = [keep(packed)]
+    try:
+        n = held[0].count()
+        twins = keep(copies(held[0], k + 1))
+        held.append(twins)
+        spare = twins.where(~F.array_contains("firsts", F.col("id")))
+        base = held[0].join(spare.select("id"), "id", "left_anti") if twins.limit(1).count() else held[0]
+        parts = next(p for p in range(min(parts, dim), 0, -1) if dim % p == 0)
+        model = _trained(base, n, dim, parts)
+        if model is None:
+            return spark.createDataFrame([], f"{_ANSWER}, rank int")
+        indexed = keep(_index(base, model, dim))
+        held.append(indexed)
+        first = keep(_ask_own(indexed, model, dim, k, probes, rerank, least))
+        held.append(first)
+        second = _ask_others(indexed, first.where("list >= 0").select("id", "packed", "list", "ring"), model, dim, k, rerank, least)
+        same = spare.select("id", F.explode(F.slice("firsts", 1, k)).alias("other"), F.lit(1.0).alias("similarity"))
+        found = first.where("list < 0").select("id", "other", "similarity").unionByName(second).unionByName(same)
+        # at most k rows per id, list and block
+        ranked = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))), 1, k).alias("top"))
+        ranked = cut(ranked)
+    finally:
+        for df in held:
+            df.unpersist()
+    return ranked.select("id", F.posexplode("top").alias("rank", "t")).select("id", F.col("t.other").alias("other"), (-F.col("t.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
+def _trained(packed: DataFrame, n: int, dim: int, parts: int):
+    """The broadcast model, trained in one task on the TRAIN vectors of smallest hash; None without vectors."""
+    lists = max(1, n // LIST)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = pd.concat([pd.DataFrame({"id": [], "packed": []}), *batches]).sort_values("id")  # at most TRAIN rows
         if len(sample):
-            x = unit_rows(sample["packed"].tolist(), dim, "float32")
-            yield pd.DataFrame({"model": [Quantizer.train(x, lists, parts).dumps()]})
+            yield pd.DataFrame({"model": [Quantizer.train(unit_rows(sample["packed"], dim, "float32"), lists, parts).dumps()]})
+
+    part = min(1.0, 2 * TRAIN / max(1, n))  # so that no task sends or sorts more than the sample needs
+    hashed = packed.withColumn("_h", F.xxhash64("id")).where(F.pmod("_h", F.lit(1 << 30)) < int(part * (1 << 30)) + 1)
+    rows = hashed.orderBy("_h", "id").limit(TRAIN).coalesce(1).mapInPandas(train, "model binary").collect()
+    return packed.sparkSession.sparkContext.broadcast(bytes(rows[0]["model"])) if rows else None
 
-    chosen = packed.orderBy(F.xxhash64("id"), "id").limit(TRAIN)
-    trained = chosen.coalesce(1).mapInPandas(train, "model binary").collect()
-    if not trained:
-        return spark.createDataFrame([], "id string, other string, similarity double, rank int")
-    model = spark.sparkContext.broadcast(bytes(trained[0]["model"]))
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        quantizer = Quantizer.loads(model.value)
+def _index(packed: DataFrame, model, dim: int) -> DataFrame:
+    """``(id, packed, code, list, u, lost, ring)`` of every vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        quantizer = loaded(model.value)
         for batch in batches:
             for a in range(0, len(batch), 2000):
                 part = batch.iloc[a : a + 2000]
                 x = unit_rows(part["packed"], dim, "float32")
-                inner = x @ quantizer.centroids.T
-                d = (quantizer.centroids**2).sum(1) - 2 * inner
-                # the own list is the nearest centroid's; the others asked are foremost by inner product or by nearness
-                rank = np.minimum(2 * _ranks(-inner), 3 * _ranks(d) + 1)
-                rank[np.arange(len(x)), d.argmin(1)] = -1
-                order = np.argsort(rank, axis=1, kind="stable")[:, :probes]
-                codes = quantizer.codes(x, order[:, 0])
-                radius = np.sqrt(((x - quantizer.centroids[order[:, 0]]) ** 2).sum(1))
-                yield pd.DataFrame({
-                    "id": part["id"], "packed": part["packed"], "code": [c.tobytes() for c in codes], "asks": order.astype(np.int32).tolist(),
-                    "inner": np.take_along_axis(inner, order, axis=1).astype(np.float64).tolist(), "radius": radius.astype(np.float64),
-                })
-
-    indexed = cut(packed.mapInPandas(index, "id string, packed binary, code binary, asks array<int>, inner array<double>, radius double"))
-    ring = F.least(F.floor(F.col("radius") / RING), F.lit(9)).cast("int").alias("ring")
-    members = indexed.select("id", "packed", "code", F.col("asks")[0].alias("list"), "radius", ring)
-    turn = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
-    own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-    blocks = lambda df, name: df.groupBy("list", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+                lists, u = quantizer.own(x)
+                codes, lost = quantizer.codes(x, lists, u)
+                yield part[["id", "packed"]].assign(code=[c.tobytes() for c in codes], list=lists, u=u, lost=lost, ring=(u < NEAR).astype(np.int32))
+
+    return packed.mapInPandas(run, "id string, packed binary, code binary, list long, u float, lost float, ring int")
+
+
+def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows with the number of blocks of their group: one but for groups counted to hold more than BLOCK rows."""
+    large = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
+    return rows.join(broadcast_within(large, 100_000), keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
+def _turn(count: str):
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
+def _own(count: str):
+    return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+
+
+def _ask_own(indexed: DataFrame, model, dim: int, k: int, probes: int, rerank: int, least: float) -> DataFrame:
+    """Answers ``(id, other, similarity)`` of every vector's own list, and rows ``(id, packed, list, ring)`` of what else to ask;
+    an answer has list -1.
+
+    A row is member and query at once where block meets itself, else member for other blocks' queries and query of other
+    blocks; a list of one block is shuffled once.
+    """
+    sized = _blocks(indexed.select("list", "id", "packed", "code", "u", "lost"), ["list"], "n").withColumn("own", _own("n"))
+    sized = sized.withColumn("other", _turn("n"))
+    column = lambda mb, qb, member, asks: [F.col("list"), F.col(mb).alias("mb"), F.col(qb).alias("qb"), "id", "packed", (F.col("code") if member else F.lit(None).cast("binary")).alias("code"), "u", "lost", F.lit(asks).alias("asks")]
+    both = sized.where("other = own").select(*column("own", "own", True, True))
+    member = sized.where("other <> own and n > 1").select(*column("own", "other", True, False))
+    query = sized.where("other <> own and n > 1").select(*column("other", "own", False, True))
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        quantizer, list_no = loaded(model.value), int(key[0])
+        members = rows[rows["code"].notna()].reset_index(drop=True)
+        queries = rows[rows["asks"]].reset_index(drop=True)
+        if not len(members) or not len(queries):
+            return pd.DataFrame(columns=list(_MIXED), dtype=object)
+        r, m, value = _best(quantizer, members, queries, list_no, dim, k, rerank, least)
+        ids, packed = queries["id"].to_numpy(), queries["packed"].to_numpy()
+        out = [[ids[r]], [members["id"].to_numpy()[m]], [value], [np.full(len(r), None)], [np.full(len(r), -1)], [np.full(len(r), -1)]]
+        if key[1] == key[2]:  # where its own block has answered, a query says what else to ask
+            kth = np.full(len(queries), -1.0)
+            last = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) == k - 1)
+            kth[r[last]] = value[last]
+            goal = np.maximum(kth, least)
+            for a in range(0, len(queries), 2000):
+                lists, inner = quantizer.foremost(unit_rows(packed[a : a + 2000], dim, "float32"), probes)
+                for ring, (low, high) in enumerate(((NEAR, 1.0), (-1.0, NEAR))):
+                    q, place = np.nonzero((_bound(inner.astype(np.float64), low, high) >= goal[a : a + 2000, None]) & (lists != list_no))
+                    for column, part in zip(out, (ids[a + q], np.full(len(q), None), np.full(len(q), np.nan), packed[a + q], lists[q, place], np.full(len(q), ring)), strict=True):
+                        column.append(part)
+        columns = [np.concatenate(c) for c in out]
+        return pd.DataFrame(dict(zip(_MIXED, columns, strict=True)))
+
+    rows = both.unionByName(member).unionByName(query)
+    return rows.groupBy("list", "mb", "qb").applyInPandas(answer, f"{_ANSWER}, packed binary, list long, ring int")
+
+
+def _ask_others(indexed: DataFrame, asked: DataFrame, model, dim: int, k: int, rerank: int, least: float) -> DataFrame:
+    """Answers of the members of a list's ring to the queries that ask it; a group holds at most some BLOCK of each."""
+    key = ["list", "ring"]
+    members = _blocks(indexed.select(*key, "id", "packed", "code", "u", "lost"), key, "mn")
+    queries = _blocks(asked, key, "qn")
+    counts = lambda df, name: broadcast_within(df.where(F.col(name) > 1).select(*key, name).distinct(), 100_000)
+    m = members.join(counts(queries, "qn"), key, "left").withColumn("mb", _own("mn")).withColumn("qn", F.coalesce("qn", F.lit(1))).withColumn("qb", _turn("qn"))
+    q = queries.join(counts(members, "mn"), key, "left").withColumn("qb", _own("qn")).withColumn("mn", F.coalesce("mn", F.lit(1))).withColumn("mb", _turn("mn"))
+
+    def answer(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["code"].isna()
-        held, asking = rows[~asks], rows[asks]
-        if not len(held) or not len(asking):
-            return pd.DataFrame({"id": [], "other": [], "similarity": []})
-        return _best(Quantizer.loads(model.value), held, asking, int(key[0]), dim, k, rerank)
-
-    def ask(held: DataFrame, queries: DataFrame) -> DataFrame:
-        """Answers of members to queries of the same list and ring; a group holds at most some BLOCK of each."""
-        sizes = F.broadcast(blocks(held, "m_blocks").join(blocks(queries, "q_blocks"), ["list", "ring"]))  # at most 10 * MAX_LISTS rows
-        key = ["list", "ring", "mb", "qb"]
-        m = held.join(sizes, ["list", "ring"]).withColumn("mb", own("m_blocks")).withColumn("qb", F.explode(turn("q_blocks"))).select(*key, "id", "packed", "code")
-        q = queries.join(sizes, ["list", "ring"]).withColumn("qb", own("q_blocks")).withColumn("mb", F.explode(turn("m_blocks"))).select(*key, "id", "packed")
-        both = m.unionByName(q, allowMissingColumns=True)
-        return both.groupBy(*key).applyInPandas(answer, "id string, other string, similarity double")
-
-    # The own list first, in one ring. A ring of another list can hold nothing better than the centroid's inner product plus the
-    # ring's largest distance from it, and hardly anything near that; it is asked only where REACH of it attains the k-th best so far.
-    one = members.withColumn("ring", F.lit(0))
-    first = cut(ask(one, one.select("id", "packed", "list", "ring")))
-    kth = first.groupBy("id").agg(F.get(F.sort_array(F.collect_list("similarity"), asc=False), F.lit(k - 1)).alias("kth"))
-    rings = F.broadcast(cut(members.groupBy("list", "ring").agg(F.max("radius").alias("reach"))))  # at most 10 * MAX_LISTS rows
-    asked = indexed.join(kth, "id", "left").select("id", "packed", "kth", F.explode(F.slice(F.arrays_zip("asks", "inner"), 2, probes)).alias("p"))
-    asked = asked.select("id", "packed", "kth", F.col("p.asks").alias("list"), F.col("p.inner").alias("inner")).join(rings, "list")
-    second = ask(members, cut(asked.where(f"kth is null or inner + {REACH} * reach >= kth").select("id", "packed", "list", "ring")))
-    found = first.unionByName(second)
-    # at most k * probes * blocks rows per id
-    ranked = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))), 1, k).alias("top"))
-    return ranked.select("id", F.posexplode("top").alias("rank", "t")).select("id", F.col("t.other").alias("other"), (-F.col("t.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+        members, queries = rows[~asks].reset_index(drop=True), rows[asks].reset_index(drop=True)
+        if not len(members) or not len(queries):
+            return pd.DataFrame(columns=list(_MIXED[:3]), dtype=object)
+        r, at, value = _best(loaded(model.value), members, queries, int(group[0]), dim, k, rerank, least)
+        return pd.DataFrame({"id": queries["id"].to_numpy()[r], "other": members["id"].to_numpy()[at], "similarity": value})
+
+    cols = [*key, "mb", "qb", "id", "packed"]
+    rows = m.select(*cols, "code", "u", "lost").unionByName(q.select(*cols), allowMissingColumns=True)
+    return rows.groupBy(*key, "mb", "qb").applyInPandas(answer, _ANSWER)

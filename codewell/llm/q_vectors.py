@@ -28,11 +28,16 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in which one is among the five most similar of the other, from a cosine of 0.7."""
-    near = p5_neighbours(spark, sf_dir).where(F.col("similarity") >= ALIKE)
+    near = nearest_neighbours(pictures(spark, sf_dir), DIM, least=ALIKE)
     return near.select(F.least("id", "other").alias("file_a"), F.greatest("id", "other").alias("file_b")).distinct()
 
 
-_SQL = f"""
+def p5_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alike ones among the five most similar of every picture, with their similarity and rank."""
+    return nearest_neighbours(pictures(spark, sf_dir), DIM, least=ALIKE)
+
+
+_TOP = f"""
 WITH usable AS (
   SELECT nombre_archivo AS f, CAST(histograma_visual AS DOUBLE[]) AS h FROM fashion_images
   UNION ALL SELECT nombre_archivo, histograma FROM vectores_fashion),
@@ -42,7 +47,9 @@ pic AS MATERIALIZED (
     AND len(list_filter(h, lambda x: x <> 0)) > 0 GROUP BY f),
 pairs AS (SELECT a.f AS f, b.f AS o, round(list_cosine_similarity(a.h, b.h), 6) AS s FROM pic a JOIN pic b ON a.f <> b.f),
 top AS (SELECT f, o, s, row_number() OVER (PARTITION BY f ORDER BY s DESC, o) AS r FROM pairs)
-SELECT DISTINCT least(f, o) AS file_a, greatest(f, o) AS file_b FROM top WHERE r <= 5 AND s >= {ALIKE}"""
-
-QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-SQL = {"p5_found": _SQL}
+"""
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_ranked": p5_ranked}
+SQL = {
+    "p5_found": _TOP + f"SELECT DISTINCT least(f, o) AS file_a, greatest(f, o) AS file_b FROM top WHERE r <= 5 AND s >= {ALIKE}",
+    "p5_ranked": _TOP + f"SELECT f AS id, o AS other, s AS similarity, CAST(r AS INTEGER) AS rank FROM top WHERE r <= 5 AND s >= {ALIKE}",
+}

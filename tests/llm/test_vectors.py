@@ -26,6 +26,23 @@ def frame(spark, rows):
     return pack_usable(spark.createDataFrame(rows, "id string, v array<double>").selectExpr("id", "v", "1 as packed"), "id", "v", DIM)
 
 
+def test_packing_keeps_every_digit():
+    from codewell.llm.vectors import pack_rows, unpack
+
+    rng = np.random.default_rng(1)
+    x = np.zeros((7, 2000))
+    for k, kind in enumerate(("u1", "f4", "f8", "u1", "f8", "u1", "f4")):
+        at = rng.choice(2000 if k > 2 else 200, 40 if k < 5 else 3, replace=False)
+        x[k, at] = rng.integers(1, 255, len(at)) if kind == "u1" else rng.random(len(at)).astype(kind) - 0.5
+    rows, cols = np.nonzero(x)
+    packed = pack_rows(rows, cols, x[rows, cols], len(x))
+    back = np.zeros_like(x)
+    r, c, v = unpack(packed)
+    back[r, c] = v
+    assert (back == x).all() and (np.diff(r) >= 0).all() and len({p[0] for p in packed}) >= 4
+    assert len(unpack([])[0]) == 0
+
+
 DIRTY = [("n0", None), ("n1", [1.0] * 3), ("n2", [0.0] * DIM), ("n3", [float("nan")] + [1.0] * (DIM - 1)), ("n4", [None] + [1.0] * (DIM - 1)), (None, [1.0] * DIM)]
 
 
@@ -60,6 +77,47 @@ def test_neighbours_against_brute_force(spark):
     assert all(sim == s[ids.index(i), ids.index(o)] for i in ids for o, sim in got[i].values())
 
 
+def _neighbours(df, **options):
+    got = {}
+    for r in nearest_neighbours(df, DIM, 5, parts=20, **options).collect():
+        got.setdefault(r.id, {})[r.rank] = (r.other, r.similarity)
+    return {i: [v[k] for k in sorted(v)] for i, v in got.items()}
+
+
+def test_lists_of_directions_and_offsets(spark, monkeypatch):
+    """More lists than directions: each direction is refined by offsets."""
+    import codewell.llm.neighbours as n
+
+    rows = make(np.random.default_rng(8), [30, 25, 40, 9], 40)
+    ids, s, want = exact(rows, 5)
+    monkeypatch.setattr(n, "LIST", 8)
+    monkeypatch.setattr(n, "TOP", 5)
+    x = unit_rows([r.packed for r in frame(spark, rows).collect()], DIM, "float32")
+    model = n.Quantizer.train(x, len(x) // 8, 20)
+    assert len(model.top) == 5 and len(model.sub) == 4
+    lists, inner = model.foremost(x, 3)
+    assert np.allclose([(model.direction(lists[:, k]) * x).sum(1) for k in range(3)], inner.T, atol=1e-5) and (np.diff(inner, axis=1) <= 1e-6).all()
+    assert np.allclose((model.direction(np.arange(20)) ** 2).sum(1), 1, atol=1e-5)
+    got = _neighbours(frame(spark, rows), probes=14)
+    assert sum(len({o for o, _ in got[i]} & set(want[i])) for i in ids) >= 0.9 * 5 * len(ids)
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = make(np.random.default_rng(9), [12, 9], 20)
+    rows += [(f"z{k:02}", rows[0][1]) for k in range(22)]
+    ids, s, want = exact(rows, 5)
+    got = _neighbours(frame(spark, rows))
+    assert set(got) == set(ids)
+    assert all([o for o, _ in got[i]] == want[i] for i in ids if i.startswith("z") or i == rows[0][0])
+    assert sum(len({o for o, _ in got[i]} & set(want[i])) for i in ids) >= 0.95 * 5 * len(ids)
+
+
+def test_least_similarity_only_drops_what_is_below(spark):
+    df = frame(spark, make(np.random.default_rng(3), [15, 8, 3], 30))
+    whole, some = _neighbours(df), _neighbours(df, least=0.7)
+    assert some == {i: kept for i, v in whole.items() if (kept := [p for p in v if p[1] >= 0.7])}
+
+
 @pytest.mark.parametrize("rows", [[], [("a", [1.0] * DIM)], [("a", [1.0] * DIM), ("b", [1.0] * DIM)]])
 def test_tiny_inputs(spark, rows):
     packed = frame(spark, rows)

@@ -7,10 +7,12 @@ is the prior. Each variant is attached to the form of maximum posterior, unless
 form is too rare to be the source of a spelling, it is judged as that spelling's variant; the attachment still goes to the
 fuller form, and to one only, as an initial would merge different people. Attachments form a forest, whose roots are the entities.
 
-Candidates come from an equi-join on keys of the rare tokens: the sound-alike skeleton of a token, the token, and all their single
-deletions, so that one insertion, deletion, substitution or transposition still meets. Tokens that many spellings share
-(given names, frequent surnames) are keyed together with the initials of the other tokens and of their full forms and
-nicknames, which splits such blocks; so are tokens of two or three letters. The name without case and accents is a key, too.
+Candidates come from an equi-join on keys of two parts, the same for rare and frequent tokens. The first part is a token's
+sound-alike skeleton, the token, or one of their single deletions, so that one insertion, deletion, substitution or transposition
+still meets, and for long tokens the skeleton's first letters. The second part is another token of the name: its skeleton or those of its full forms, or, where one of the two
+spellings abbreviates it, its first letter. Fully spelled names meet only where both parts agree, so a block holds the
+spellings of few people however frequent a surname is; blocks counted to be large are joined in parts. The name without case
+and accents is a key, too.
 
 Defined results: NULL, empty and blank names are no names; blanks around are removed; repeated rows only raise the count;
 ties of the posterior go to the better ranked form, ties of rank to the smaller string; names without any letter or of any
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewell.llm.plain import without_marks
-from codewell.runtime import cut
+from codewell.runtime import cut, parallelism
 
-#: A token in more spellings than this is keyed together with the initials of the other tokens.
-SHARED_TOKEN = 40
+#: Rows of a block that are joined at once.
+BLOCK = 2000
 #: log-odds below which a spelling stands alone.
 ALONE = -9.0
 
@@ -40,10 +42,10 @@ ALONE = -9.0
 KINDS = {
     "quartet": "quartet", "4tet": "quartet", "cuarteto": "quartet", "qrt": "quartet", "quart": "quartet", "orquesta": "orchestra",
     "orch": "orchestra", "orq": "orchestra", "orchestra": "orchestra", "coro": "choir", "choir": "choir", "brothers": "brothers",
-    "bros": "brothers", "hermanos": "brothers", "hnos": "brothers", "norte": "norte", "trio": "trio", "sextet": "sextet",
+    "bros": "brothers", "hermanos": "brothers", "hnos": "brothers", "trio": "trio", "sextet": "sextet",
 }
 # Words without weight in a name.
-IDLE = {"the", "los", "las", "la", "el", "de", "del", "of", "and", "&", "+", "band", "banda", "bnd"}
+IDLE = {"the", "los", "las", "la", "el", "de", "del", "of", "and", "&", "+", "band", "banda"}
 # Common nicknames of English and Spanish given names, accents removed.
 NICKNAMES = {
     "alejandro": "alex jandro ale", "alexandra": "alex sandra lexi lexa", "andres": "andy", "anthony": "tony ant", "charles": "charlie chuck chas",
@@ -86,6 +88,12 @@ def _kind(word: str, dotted: bool) -> str | None:
     return None
 
 
+@lru_cache(50_000)
+def _is_idle(word: str) -> bool:
+    """A word without weight, also written without its vowels."""
+    return word in IDLE or (len(word) > 2 and any(w != word and "".join(c for c in w if c not in "aeiou") == word for w in IDLE))
+
+
 def fold(text: str) -> str:
     """Lower case without accents."""
     return without_marks(text).casefold()
@@ -132,7 +140,7 @@ def parse(name: str) -> tuple[frozenset[str], tuple[str, ...]]:
     head, comma, tail = text.partition(",")
     if comma and tail.strip():
         text = f"{tail} {head}" if not tail.strip().startswith(("jr", "sr")) else head
-    kinds, rest, letters = set(), [], []
+    kinds, rest = set(), []
     for t in _TOKEN.findall(text):
         bare = t.rstrip(".")
         kind = _kind(bare, t != bare)
@@ -140,13 +148,8 @@ def parse(name: str) -> tuple[frozenset[str], tuple[str, ...]]:
             kinds.add(kind)
         elif t == "y" and rest:  # between two names; at the start it is an initial
             continue
-        elif bare == "d":
-            letters.append(len(rest))
-            rest.append("d")
-        elif t != bare or t not in IDLE:
+        elif t != bare or not _is_idle(t):
             rest.append(t if t.endswith(".") and len(bare) > 1 else bare)
-    if kinds:  # "coro d. ..." and "... d. Norte": the particle
-        rest = [t for i, t in enumerate(rest) if i not in letters]
     return frozenset(kinds), tuple(rest)
 
 
@@ -202,11 +205,8 @@ def _given_loglik(v: str, c: str) -> float | None:
     return None
 
 
-def channel(variant: str, canonical: str, given: frozenset[str] = frozenset()) -> float | None:
-    """log-likelihood that the canonical name is written as the variant; None if the channel cannot do it.
-
-    ``given`` holds further tokens that are shared by many names, as given names are.
-    """
+def channel(variant: str, canonical: str) -> float | None:
+    """log-likelihood that the canonical name is written as the variant; None if the channel cannot do it."""
     if (folded := fold(variant)) == fold(canonical) and any(c.isalpha() for c in folded):  # only case or accents differ
         return 0.0
     kv, tv = parse(variant)
@@ -216,15 +216,23 @@ def channel(variant: str, canonical: str, given: frozenset[str] = frozenset()) -
         kv, tv, kc, tc, penalty = _spell_kinds(kv, tv, kc, tc)
     if kv != kc or not tv or not tc:
         return None
-    best = _align(tv, tc, bool(kc), given)
-    if best is None and given:  # a frequent surname is the core where the given name is unknown or an initial
-        best = _align(tv, tc, bool(kc), frozenset())
-    for x, y in ((tv[1:], tc), (tv, tc[1:])):  # "Th." may be an article
-        if best is None and x and y and (tv[0] == "th." or tc[0] == "th."):
-            best = _align(x, y, bool(kc), given)
+    best = _align(tv, tc, bool(kc))
+    if best is None:  # an abbreviation may stand for a word without weight, which the other spelling has in full
+        best = max((x - 1.5 for x in (_align(_without(tv, i), tc, bool(kc)) for i in _idle_places(tv)) if x is not None), default=None)
+    if best is None:
+        best = max((x - 1.5 for x in (_align(tv, _without(tc, i), bool(kc)) for i in _idle_places(tc)) if x is not None), default=None)
     return None if best is None else best + penalty
 
 
+def _idle_places(tokens: tuple[str, ...]) -> list[int]:
+    """Places of abbreviations that may stand for a word without weight."""
+    return [i for i, t in enumerate(tokens) if _is_short(t) and any(w.startswith(t.rstrip(".")) for w in IDLE)]
+
+
+def _without(tokens: tuple[str, ...], place: int) -> tuple[str, ...]:
+    return tokens[:place] + tokens[place + 1 :]
+
+
 def _spell_kinds(kv: frozenset[str], tv: tuple[str, ...], kc: frozenset[str], tc: tuple[str, ...]) -> tuple:
     penalty = 0.0
     for swap in (False, True):
@@ -236,17 +244,17 @@ def _spell_kinds(kv: frozenset[str], tv: tuple[str, ...], kc: frozenset[str], tc
     return kv, tv, kc, tc, penalty
 
 
-def _cores(tokens: tuple[str, ...], given: frozenset[str]) -> list[int]:
+def _cores(tokens: tuple[str, ...]) -> list[int]:
     """Places of the tokens that may be the core of a name: spelled out, and no given name if there is any other."""
     full = [i for i, t in enumerate(tokens) if not _is_short(t)]
-    return [i for i in full if tokens[i] not in GIVEN and tokens[i] not in given] or full
+    return [i for i in full if tokens[i] not in GIVEN] or full
 
 
-def _align(tv: tuple[str, ...], tc: tuple[str, ...], group: bool, given: frozenset[str]) -> float | None:
+def _align(tv: tuple[str, ...], tc: tuple[str, ...], group: bool) -> float | None:
     """Best choice of the two core tokens, the others being compared in order."""
     best = None
-    for i in _cores(tv, given):
-        for j in _cores(tc, given):
+    for i in _cores(tv):
+        for j in _cores(tc):
             v, c = tv[i], tc[j]
             core = _core_loglik(v, c)
             if core is None or (min(len(v), len(c)) < 5 and core < 0):
@@ -276,75 +284,95 @@ def _context(v: tuple[str, ...], c: tuple[str, ...], group: bool) -> float | Non
 
 
 @lru_cache(100_000)
-def _initials(token: str) -> frozenset[str]:
-    """First letters of the token, its full forms and its nicknames."""
-    bare = token.rstrip(".")
-    return frozenset(w[0] for w in (bare, *_FULL.get(bare, ()), *NICKNAMES.get(bare, "").split()))
+def _forms(token: str) -> frozenset[str]:
+    """The token and its skeleton, and both without any one letter."""
+    return frozenset(w[:k] + w[k + 1 :] for w in (skeleton(token), token) for k in range(len(w)) if len(w) >= min(4, max(3, len(token)))) | {skeleton(token), token}
 
 
-def keys_of(name: str, shared: set[str]) -> set[str]:
-    """Blocking keys of a spelling; ``shared`` holds those of its tokens that many spellings have."""
+@lru_cache(100_000)
+def _classes(token: str) -> frozenset[str]:
+    """Skeletons of the token and of the full forms of a nickname, also of one that is mistyped."""
+    known = token in _FULL or token in NICKNAMES or len(token) < 4
+    meant = set(_FULL.get(token, ())) if known else {f for n, full in _FULL.items() if len(n) > 3 and edits(token, n, 1) <= 1 for f in full}
+    return frozenset(skeleton(w) for w in (token, *meant))
+
+
+def keys_of(name: str) -> dict[str, bool]:
+    """Blocking keys of a spelling; True where it abbreviates the second part or the key holds it whole.
+
+    Two spellings are candidates where a key of both is True for at least one of them.
+    """
     kinds, rest = parse(name)
-    out = set()
+    out = {"=" + fold(name): True}
+    letters = {w[0] for w, k in KINDS.items() if k in kinds}  # an initial may stand for the kind
     for i, t in enumerate(rest):
         if _is_short(t):
             continue
-        forms = {w[:k] + w[k + 1 :] for w in (skeleton(t), t) for k in range(len(w)) if len(w) >= min(4, max(3, len(t)))} | {skeleton(t), t}
-        initials = {x for j, o in enumerate(rest) if j != i for x in _initials(o)} | {"/" + k for k in kinds}
-        initials |= {w[0] for w, k in KINDS.items() if k in kinds}  # an initial may stand for the kind
-        out |= {f"{f}|{x}" for f in forms for x in initials}  # meets mistyped forms of shared tokens
-        if t not in shared and len(t) >= 4:
-            out |= forms
-    return out | {"=" + fold(name)}
+        whole, short, first = {"/" + k for k in kinds}, set(), set(letters)
+        for j, o in enumerate(rest):
+            if j != i:
+                (short if _is_short(o) else first).add(o[0])
+                if not _is_short(o):
+                    whole |= {"&" + c for c in _classes(o)}
+        for f in _forms(t):
+            for x in first:
+                out.setdefault(f"{f}|{x}", False)
+            for x in short:
+                out[f"{f}|{x}"] = True
+            for x in whole:
+                out[f + x] = True
+        if len(t) >= 8:  # two errors are possible
+            out |= {f"{skeleton(t)[:5]}^{x}": True for x in whole}
+    return out
 
 
 def link_names(names: DataFrame, name: str = "name", weight: str | None = None) -> DataFrame:
     """``(name, n, canonical, log_posterior)`` for every distinct spelling; a root is its own canonical with a NULL posterior.
 
-    Shuffles: the spellings' counts, their tokens' counts, the blocking keys (some 60 short rows a token), the candidate
-    pairs, and the attachments, all over distinct spellings, not rows.
+    Shuffles: the spellings' counts, the blocking keys (some 60 short rows a token), the candidate pairs, and the attachments,
+    all over distinct spellings, not rows.
     """
+    tasks = 2 * parallelism(names.sparkSession)
     trimmed = F.regexp_replace(F.col(name), "^[ \t\r\n]+|[ \t\r\n]+$", "")
     n = F.sum(weight) if weight else F.count(F.lit(1))
     spellings = names.select(trimmed.alias("name"), *([weight] if weight else [])).where("name <> ''").groupBy("name").agg(n.cast("long").alias("n"))
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(s, n, completeness(s), t) for s, n in zip(b["name"], b["n"], strict=True) for t in dict.fromkeys(parse(s)[1]) or [None]]
-            yield pd.DataFrame(rows, columns=["name", "n", "full", "token"])
-
-    tokened = cut(spellings.mapInPandas(tokens, "name string, n long, full int, token string"))
-    common = tokened.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > SHARED_TOKEN).select("token", F.lit(True).alias("common"))
-    shared = tokened.join(common, "token", "left").groupBy("name", "n", "full").agg(F.collect_list(F.when(F.col("common"), F.col("token"))).alias("shared"))
+    spellings = cut(spellings.repartition(tasks, "name"))  # a stated number, so that the Python stages behind use all cores
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, s, n, f, sh) for s, n, f, sh in b[["name", "n", "full", "shared"]].itertuples(index=False) for k in keys_of(s, set(sh))]
-            yield pd.DataFrame(rows, columns=["key", "name", "n", "full", "shared"])
-
-    keys = cut(shared.mapInPandas(keyed, "key string, name string, n long, full int, shared array<string>"))
-    v, c = keys.alias("v"), keys.alias("c")
+            rows = [(k, w, s, n, completeness(s)) for s, n in zip(b["name"], b["n"], strict=True) for k, w in keys_of(s).items()]
+            yield pd.DataFrame(rows, columns=["key", "whole", "name", "n", "full"])
+
+    keys = cut(spellings.mapInPandas(keyed, "key string, whole boolean, name string, n long, full int"))
+    # blocks of one spelling, or of fully spelled ones that only share an initial, give no pair
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.max("whole").alias("_any")).where("_m > 1 and _any")
+    sizes = sizes.select("key", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_parts"))
+    live = keys.join(sizes, "key")
+    v = live.withColumn("part", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int")).alias("v")
+    c = live.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("c")
     better = F.struct(F.col("c.full"), F.col("c.n"), F.col("v.name")) > F.struct(F.col("v.full"), F.col("v.n"), F.col("c.name"))
+    met = (F.col("v.key") == F.col("c.key")) & (F.col("v.part") == F.col("c.part")) & (F.col("v.whole") | F.col("c.whole"))
     pairs = (
-        v.join(c, (F.col("v.key") == F.col("c.key")) & (F.col("v.name") != F.col("c.name")) & better)
-        .select(F.col("v.name").alias("name"), F.col("v.n").alias("n"), F.col("c.name").alias("c"), F.col("c.n").alias("cn"), F.col("c.full").alias("cfull"), F.array_union("v.shared", "c.shared").alias("given"))
+        v.join(c, met & (F.col("v.name") != F.col("c.name")) & better)
+        .select(F.col("v.name").alias("name"), F.col("v.n").alias("n"), F.col("c.name").alias("c"), F.col("c.n").alias("cn"), F.col("c.full").alias("cfull"))
         .distinct()
+        .repartition(tasks, "name")
     )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for s, n, other, cn, full, given in b[["name", "n", "c", "cn", "cfull", "given"]].itertuples(index=False):
-                ll = channel(s, other, frozenset(given))
+            for s, n, other, cn, full in b[["name", "n", "c", "cn", "cfull"]].itertuples(index=False):
+                ll = channel(s, other)
                 if ll is None:
                     continue
                 odds = post = math.log(cn / n) + ll
                 if post <= ALONE and cn < n:  # the fuller, rare spelling as a variant of the frequent one
-                    back = channel(other, s, frozenset(given))
+                    back = channel(other, s)
                     odds = post if back is None else math.log(n / cn) + back
                 if odds > ALONE:
                     rows.append((s, other, post, odds, full, cn))
-            yield pd.DataFrame(rows, columns=["name", "parent", "post", "odds", "full", "cn"])
+            yield pd.DataFrame(rows, columns=["name", "parent", "post", "odds", "full", "cn"], dtype=object)
 
     scored = pairs.mapInPandas(score, "name string, parent string, post double, odds double, full int, cn long")
     attached = scored.groupBy("name").agg(F.max(F.struct("post", "full", "cn", "parent", "odds")).alias("best")).select(

@@ -54,12 +54,12 @@ def test_shared_tokens_are_split_not_dropped(spark):
     assert got["B. Garciano"] == "Bamabo Garciamo" and len(set(got.values())) == 61
 
 
-def _linked(spark, *more, surname="Garciano"):
-    """Canonical forms where the surname stands in more than SHARED_TOKEN spellings."""
+def _linked(spark, *more, surname="Garciano", many=60):
+    """Canonical forms where the surname stands in many spellings."""
     import random
 
     rng = random.Random(4)
-    rows = [(f"{''.join(rng.choice('acdfgijklnostu') for _ in range(7)).title()} {surname}",) for _ in range(60)] + [(m,) for m in more]
+    rows = [(f"{''.join(rng.choice('acdfgijklnostu') for _ in range(7)).title()} {surname}",) for _ in range(many)] + [(m,) for m in more]
     return {r.name: r.canonical for r in link_names(spark.createDataFrame(rows, "name string"), "name").collect()}
 
 
@@ -87,3 +87,30 @@ def test_hot_short_spelling_and_rare_full_one(spark):
     got = {r.name: (r.canonical, r.log_posterior) for r in link_names(spark.createDataFrame(rows, "name string, w long"), "name", "w").collect()}
     assert got["P. Hotzmann"][0] == "Peter Hotzmann" and got["P. Hotzmann"][1] > 0
     assert len({c for c, _ in got.values()}) == 3
+
+
+def test_links_do_not_depend_on_how_frequent_a_surname_is(spark, monkeypatch):
+    import codewell.llm.names as names
+
+    pairs = [("Bill", "William"), ("Bob", "Robert"), ("Pepe", "Jose"), ("Paco", "Francisco"), ("Lexie", "Alexandra")]
+    few, many = (_linked(spark, *(f"{n} Garciano" for p in pairs for n in p), many=k) for k in (3, 400))
+    assert all(got[f"{a} Garciano"] == got[f"{b} Garciano"] == f"{b} Garciano" for a, b in pairs for got in (few, many))
+    monkeypatch.setattr(names, "BLOCK", 3)  # blocks in parts
+    assert _linked(spark, *(f"{n} Garciano" for p in pairs for n in p), many=400) == many
+
+
+def test_blocks_of_a_frequent_surname_give_few_candidates():
+    from collections import Counter
+
+    import random
+
+    rng = random.Random(1)
+    people = {f"{''.join(rng.choice('abcdefghijklmnoprstu') for _ in range(6))} garciano" for _ in range(2000)}
+    sizes = Counter(k for p in people for k, whole in names_keys(p) if whole)
+    assert sum(n * n for n in sizes.values() if n > 1) < 10 * len(people) * 20
+
+
+def names_keys(name):
+    from codewell.llm.names import keys_of
+
+    return keys_of(name).items()

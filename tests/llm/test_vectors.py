@@ -181,3 +181,36 @@ def test_links_without_cosine_do_not_hide_a_group(spark):
     members, comps = cluster(frame(spark, rows), DIM, 0.7)
     assert {(r.component, r.size, r.tight) for r in comps.collect()} == {("a0", 5, True), ("z", 1, True)}
     assert {(r.id, r.component) for r in members.collect()} == {(f"a{k}", "a0") for k in range(5)} | {("z", "z")}
+
+
+def test_a_hot_garment_in_blocks(spark, monkeypatch):
+    """One garment owns half of all rows, with copies; its degrees follow from angles, those of loose groups from blocks."""
+    import codewell.llm.clusters as c
+
+    rng = np.random.default_rng(12)
+    rows = make(rng, [90, 6], 20)
+    rows += [(f"copy{k:02}", rows[3][1]) for k in range(40)] + [(f"far{k}", [v * (0.2 if j % 3 else 2.4) for j, v in enumerate(rows[0][1])]) for k in range(3)]
+    ids, s, _ = exact(rows, 1)
+    alike = s >= 0.7
+    hood = {i: frozenset({i, *(ids[j] for j in np.flatnonzero(alike[r]))}) for r, i in enumerate(ids)}
+    want = {h for h in hood.values() if len(h) >= 5 and all(hood[j] == h for j in h)}
+    df = frame(spark, rows)
+    answers = []
+    for block, bucket in ((1000, 20_000), (25, 30)):
+        monkeypatch.setattr(c, "BLOCK", block)
+        monkeypatch.setattr(c, "BUCKET", bucket)
+        got = {}
+        for r in c.tight_groups(df, DIM, 0.7, 5).collect():
+            got.setdefault(r.component, set()).add(r.id)
+        assert {frozenset(v) for v in got.values()} == want
+        members, comps = c.cluster(df, DIM, 0.7)
+        answers.append({(r.id, r.component, r.medoid, r.degree, r.total) for r in members.collect()})
+        assert comps.agg({"size": "sum"}).first()[0] == len(rows)
+    assert answers[0] == answers[1]
+
+
+def test_leaders_of_buckets():
+    from codewell.llm.clusters import _leaders
+
+    bucket, sketch = np.array([0, 0, 0, 0, 1, 1]), [np.array([5, 6, 6, 9, 5, 7]), np.array([1, 2, 3, 3, 1, 4])]
+    assert _leaders(bucket, sketch).tolist() == [0, 1, 1, 1, 4, 5]

@@ -25,7 +25,6 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +40,9 @@ BUCKETS, RANK = 1 << 17, 8
 MAX_LABELLED = 6000
 #: Words scored at once.
 GROUP_WORDS = 100_000
+#: Windows of each negative document, epochs, weight of a label beside the machine's own opinion, expected held-out positives.
+PLAIN_WINDOWS, EPOCHS, TRUST, PRIOR = 6, 5, 0.8, 5
+BATCH = 64
 #: (length, step) of the windows in words.
 WINDOWS = ((6, 2), (10, 2), (16, 4))
 
@@ -52,18 +54,6 @@ _ALIKE = {
 }
 # Digits and signs read as letters inside a word.
 _LEET = str.maketrans("4301578$@!|€£", "aeoistbsailel")
-# Everyday words of English, Spanish and Portuguese by class. A class is one more term of the machine, whose
-# weight the labels decide; it carries what few labels show to words they do not hold.
-CLASSES = {
-    "insult": "idiot idiots moron imbecile stupid dumb pathetic loser losers cretin dimwit brainless disgusting filthy ugly scumbag scum bitch asshole bastard pig "
-    "idiota imbecil estupido estupida inutil asco cerdo escoria pendejo puta puto mierda merda lixo burro imbecis otario vagabunda nojento",
-    "crude": "fuck fucked fucking cock dick pussy tits balls slut whore naked porn undress moaning thighs lick suck sucked sex horny "
-    "follar follarte verga tetas piernas desnuda polla foder pau peitos buceta pelada transar chupame chupa",
-    "harm": "kill die dead choke rope throat slit hang jump burn break neck drown birth ditch colgarte matar matate muere muerete ahorcar quemarlos morra morrer enforcar",
-    "vermin": "vermin parasite parasites rats cockroaches trash garbage dirt filth basura ratas plaga escoria pragas lixo exterminated",
-    "you": "you your yourself u te tu tus eres voce seu sua",
-    "all": "all every them they those people kind back todos todas ellos esos eles esses",
-}
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·,/]{1,2}){3,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\W_](?:[\w$@!|€£*'’.\-]*[\w$*@€£])?|\$[\w$@!]+")
@@ -111,20 +101,6 @@ def _plain(word: str) -> list[str]:
     return [_RUN.sub(r"\1", p) for p in parts]
 
 
-@cache
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the classes' words, sorted, and the bucket of each one's class."""
-    pairs = sorted((xxhash.xxh64_intdigest(w), int(_mix(np.array([xxhash.xxh64_intdigest(f"*{name}*")], np.uint64))[0])) for name, text in CLASSES.items() for w in words_of(text))
-    return np.array([h for h, _ in pairs], np.uint64), np.array([b for _, b in pairs])
-
-
-def class_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Bucket of each word's class; BUCKETS where it has none."""
-    known, of = _classes()
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, of[at], BUCKETS)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return ((x ^ (x >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
@@ -167,54 +143,61 @@ class FactorizationMachine:
             self._table = np.concatenate([self.w[:, None], self.v, (self.v**2).sum(1, keepdims=True)], axis=1)
         return self._table
 
-    def window_scores(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Raw scores of all windows of one text with their starts and ends."""
-        one, two = buckets(hashes)
-        a, b = spans(len(hashes))
-
-        def sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            c = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
-            return c[hi] - c[lo]
-
-        table = self.table()
-        s = sums(table[one] + table[class_buckets(hashes)], a, b)
-        if len(two):
-            s += sums(table[two], a, np.maximum(a, b - 1))
-        return self.bias + s[:, 0] + 0.5 * ((s[:, 1:-1] ** 2).sum(1) - s[:, -1]), a, b
-
-    def score(self, hashes: np.ndarray) -> float:
-        """Raw score of a text: its best window; minus infinity without words."""
-        return float(self.score_all([hashes])[0])
-
-    def score_all(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Raw scores of many texts at once: the prefix sums run over all of them, no window over the bounds."""
+    def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, start, end and raw score of every window of many texts: the prefix sums run over all of them at once, no
+        window over the bounds. A text of at most a window's length is one window; the empty one has none."""
         n = np.array([len(t) for t in texts], np.int64)
-        best = np.full(len(texts), -np.inf)
         if not n.sum():
-            return best
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         base = np.cumsum(n) - n
         flat = np.concatenate([t for t in texts if len(t)])
         one, two = buckets(flat)
         table = self.table()
         prefix = lambda x: np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
-        singles, pairs = prefix(table[one] + table[class_buckets(flat)]), prefix(table[two])
-        before = 0
+        singles, pairs = prefix(table[one]), prefix(table[two])
+        found, before = [], 0
         for length, step in WINDOWS:
             for docs, short in ((np.flatnonzero(n > length), False), (np.flatnonzero((n <= length) & (n > before)), True)):
                 if not len(docs):
                     continue
                 count = np.ones(len(docs), np.int64) if short else 1 - (length - n[docs]) // step
-                first = np.cumsum(count) - count
-                place = np.arange(count.sum()) - np.repeat(first, count)
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 room = np.repeat(np.zeros(len(docs), np.int64) if short else n[docs] - length, count)
-                a = np.repeat(base[docs], count) + np.minimum(place * step, room)
+                start = np.minimum(place * step, room)
+                a = np.repeat(base[docs], count) + start
                 b = a + np.repeat(np.minimum(n[docs], length), count)
                 s = singles[b] - singles[a] + pairs[b - 1] - pairs[np.minimum(a, b - 1)]
                 raw = self.bias + s[:, 0] + 0.5 * ((s[:, 1:-1] ** 2).sum(1) - s[:, -1])
-                best[docs] = np.maximum(best[docs], np.maximum.reduceat(raw, first))
+                found.append((np.repeat(docs, count), start, start + b - a, raw))
             before = length
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def score(self, hashes: np.ndarray) -> float:
+        """Raw score of a text: its best window; minus infinity without words."""
+        return float(self.score_all([hashes])[0])
+
+    def score_all(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Raw scores of many texts."""
+        best = np.full(len(texts), -np.inf)
+        doc, _, _, raw = self.windows(texts)
+        np.maximum.at(best, doc, raw)
         return best
 
+    def foremost(self, texts: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, start, end and raw score of the best ``count`` windows of every text, by text, best first."""
+        parts, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < GROUP_WORDS):
+                size += len(texts[to])
+                to += 1
+            doc, a, b, raw = self.windows(texts[at:to])
+            order = np.lexsort((b, a, -raw, doc))
+            top = order[np.arange(len(order)) - np.searchsorted(doc[order], doc[order]) < count]
+            parts.append((at + doc[top], a[top], b[top], raw[top]))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Raw scores of rows of padded buckets."""
         v = self.v[x]
@@ -222,34 +205,37 @@ class FactorizationMachine:
         return self.bias + self.w[x].sum(1) + 0.5 * ((s * s).sum(1) - (v * v).sum((1, 2)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, seed: int, rate: float = 0.08, decay: float = 2e-4) -> None:
-        """Logistic loss, AdaGrad over mini-batches."""
-        rng, batch = np.random.default_rng(seed), min(256, max(16, len(x) // 60))
-        self.v[:-1] = rng.normal(0, 0.02, (BUCKETS, RANK)).astype(np.float32)
-        self.w[:], self.bias, self._table = 0, -2.0, None
-        gw, gv, gb = np.full(BUCKETS + 1, 0.1, np.float32), np.full((BUCKETS + 1, RANK), 0.1, np.float32), 0.1
+        """Logistic loss, AdaGrad over mini-batches; weight and vector of a bucket stand side by side."""
+        rng = np.random.default_rng(seed)
+        both = np.zeros((BUCKETS + 1, 1 + RANK), np.float32)
+        both[:-1, 1:] = rng.normal(0, 0.02, (BUCKETS, RANK))
+        squares, gb, self.bias, self._table = np.full_like(both, 0.1), 0.1, -2.0, None
         for _ in range(epochs):
             order = rng.permutation(len(x))
-            for at in range(0, len(order), batch):
-                rows = order[at : at + batch]
+            for at in range(0, len(order), BATCH):
+                rows = order[at : at + BATCH]
                 xb = x[rows]
-                v = self.v[xb]
-                s = v.sum(1, keepdims=True)
-                raw = self.bias + self.w[xb].sum(1) + 0.5 * ((s[:, 0] ** 2).sum(1) - (v * v).sum((1, 2)))
-                g = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) * weight[rows] / len(rows) * 16).astype(np.float32)
+                p = both[xb]
+                s = p.sum(1)
+                raw = self.bias + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(1) - (p[:, :, 1:] ** 2).sum((1, 2)))
+                g = ((_logistic(raw) - y[rows]) * weight[rows] / len(rows) * 16).astype(np.float32)
+                p[:, :, 1:] -= s[:, None, 1:]
+                p[:, :, 0] = -1
+                p *= -g[:, None, None]  # now the gradients
                 flat = xb.ravel()
-                uniq, inverse = np.unique(flat, return_inverse=True)
-                dw = np.bincount(inverse, np.repeat(g, xb.shape[1]), len(uniq)).astype(np.float32) + decay * self.w[uniq]
-                dv_rows = (g[:, None, None] * (s - v)).reshape(-1, RANK)
-                dv = np.stack([np.bincount(inverse, dv_rows[:, f], len(uniq)) for f in range(RANK)], 1).astype(np.float32) + decay * self.v[uniq]
-                pad = uniq == BUCKETS
-                dw[pad], dv[pad] = 0, 0
-                gw[uniq] += dw * dw
-                gv[uniq] += dv * dv
-                self.w[uniq] -= rate * dw / np.sqrt(gw[uniq])
-                self.v[uniq] -= rate * dv / np.sqrt(gv[uniq])
+                by_bucket = np.argsort(flat, kind="stable")
+                sorted_flat = flat[by_bucket]
+                starts = np.flatnonzero(np.concatenate([[True], sorted_flat[1:] != sorted_flat[:-1]]))
+                if sorted_flat[-1] == BUCKETS:  # padding stays 0
+                    by_bucket, starts = by_bucket[: starts[-1]], starts[:-1]
+                uniq = flat[by_bucket][starts]
+                d = np.add.reduceat(p.reshape(-1, 1 + RANK)[by_bucket], starts, axis=0) + decay * both[uniq]
+                squares[uniq] += d * d
+                both[uniq] -= rate * d / np.sqrt(squares[uniq])
                 db = float(g.sum())
                 gb += db * db
                 self.bias -= rate * db / gb**0.5
+        self.w, self.v = both[:, 0].copy(), both[:, 1:].copy()
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
@@ -262,82 +248,80 @@ class FactorizationMachine:
             return cls(float(z["b"]), z["w"].astype(np.float32), z["v"].astype(np.float32), float(z["t"]))
 
 
-def _padded(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _padded(streams: list[np.ndarray], doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rows of padded buckets of the given windows."""
-    one, two = buckets(hashes)
     longest = WINDOWS[-1][0]
-    at = a[:, None] + np.arange(longest)
-    first = np.where(at < b[:, None], np.append(one, BUCKETS)[np.minimum(at, len(one))], BUCKETS)
-    second = np.where(at < b[:, None] - 1, np.append(two, BUCKETS)[np.minimum(at, len(two))], BUCKETS)
-    third = np.where(at < b[:, None], np.append(class_buckets(hashes), BUCKETS)[np.minimum(at, len(one))], BUCKETS)
-    return np.concatenate([first, second[:, :-1], third], axis=1)
+    base = np.cumsum([0, *map(len, streams)])
+    flat = np.concatenate(streams)
+    one, two = buckets(flat)
+    at = (base[doc] + a)[:, None] + np.arange(longest)
+    end = (base[doc] + b)[:, None]
+    first = np.where(at < end, one[np.minimum(at, len(one) - 1)], BUCKETS)
+    second = np.where(at < end - 1, np.append(two, BUCKETS)[np.minimum(at, len(two))], BUCKETS)
+    return np.concatenate([first, second[:, :-1]], axis=1)
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3) -> FactorizationMachine:
-    """Fit on documents with 0/1 labels, alternating with the choice of the windows that explain positive labels."""
+    """Fit on documents with 0/1 labels, alternating with the choice of the windows that explain positive labels.
+
+    Some labels are wrong, so from the second round on a target is partly what the machine of the round before says of the window.
+    """
     machine, vocabulary = FactorizationMachine(), WordHashes()
     streams = [vocabulary.of(words_of(t)) for t in texts]
     rng = np.random.default_rng(seed)
-    usable = [k for k in rng.permutation(len(streams)).tolist() if len(streams[k])]
-    held = {k for n, k in enumerate(usable) if n % 10 == 0}
-    pos = [k for k in usable if labels[k] == 1 and k not in held]
-    neg = [k for k in usable if labels[k] == 0 and k not in held]
+    usable = np.array([k for k in rng.permutation(len(streams)).tolist() if len(streams[k])], np.int64)
+    held, rest = usable[::10], np.delete(usable, np.s_[::10])
+    pos, neg = ([streams[k] for k in rest if labels[k] == y] for y in (1, 0))
     if not pos or not neg:
         machine.threshold = np.inf
         return machine
     # first choice: terms that many positive and few negative documents hold
     counts = np.zeros((2, BUCKETS + 1))
     for c, docs in enumerate((neg, pos)):
-        for k in docs:
-            one, two = buckets(streams[k])
-            counts[c, np.unique(np.concatenate([one, two, class_buckets(streams[k])]))] += 1
-    counts[:, BUCKETS] = 0
+        for stream in docs:
+            counts[c, np.unique(np.concatenate(buckets(stream)))] += 1
     odds = np.log((counts[1] + 0.5) / (len(pos) + 1)) - np.log((counts[0] + 0.5) / (len(neg) + 1))
-    machine.set_weights(np.where(counts[1] >= min(3, 1 + len(pos) // 10), np.maximum(odds, 0), 0).astype(np.float32))
-    parts = []
-    for k in neg:  # some windows of every negative document
-        a, b = spans(len(streams[k]))
-        pick = rng.choice(len(a), min(len(a), 5), replace=False)
-        parts.append(_padded(streams[k], a[pick], b[pick]))
-    plain = np.concatenate(parts)
+    machine.set_weights((np.maximum(odds, 0) * counts[1] / (counts[1] + 2)).astype(np.float32))  # little weight for what few hold
+    doc, a, b = [], [], []
+    for k, stream in enumerate(neg):  # some windows of every negative document
+        lo, hi = spans(len(stream))
+        pick = rng.choice(len(lo), min(len(lo), PLAIN_WINDOWS), replace=False)
+        doc, a, b = [*doc, np.full(len(pick), k)], [*a, lo[pick]], [*b, hi[pick]]
+    plain = _padded(neg, *map(np.concatenate, (doc, a, b)))
     hard: list[np.ndarray] = []
+    doubt: list[np.ndarray] = []
     for r in range(rounds):
-        chosen, best = [], []
-        for k in pos:
-            s, a, b = machine.window_scores(streams[k])
-            top = np.argsort(-s, kind="stable")[:3]
-            top = top[s[top] >= s[top[0]] - 1.0] if r else top[:1]
-            chosen.append(_padded(streams[k], a[top], b[top]))
-            best.append(float(s.max()))
-        weights = np.ones(len(pos))
-        if r > 1:  # labels that nothing in the text explains are taken as wrong
-            weights[np.array(best) < -1.0] = 0.0
-        if r:
-            for k in neg:  # the windows of negative documents that look worst, unless they look like a wrong label
-                s, a, b = machine.window_scores(streams[k])
-                top = np.argsort(-s, kind="stable")[:2]
-                if r == 1 or s[top[0]] < 4.0:
-                    hard.append(_padded(streams[k], a[top], b[top]))
-        x = np.concatenate([*chosen, plain, *hard])
-        n_pos = sum(map(len, chosen))
-        y = np.concatenate([np.ones(n_pos), np.zeros(len(x) - n_pos)])
-        w = np.concatenate([np.repeat(weights / np.array([len(c) for c in chosen]) * 2, [len(c) for c in chosen]), np.ones(len(x) - n_pos)])
-        machine.fit(x, y, w, 6 if len(pos) > 500 else 16, seed + r)
-    machine.threshold = _threshold(machine, [streams[k] for k in held], labels[list(held)])
+        doc, a, b, raw = machine.foremost(pos, 3 if r else 1)
+        near = raw >= np.maximum.reduceat(raw, np.searchsorted(doc, np.arange(len(pos))))[doc] - 1.0
+        doc, a, b, raw = doc[near], a[near], b[near], raw[near]
+        chosen, share = _padded(pos, doc, a, b), 2 / np.bincount(doc, minlength=len(pos))[doc]
+        target = TRUST + (1 - TRUST) * _logistic(raw) if r > 1 else np.ones(len(raw))
+        if r:  # the windows of negative documents that look worst
+            worst = machine.foremost(neg, 2)
+            hard.append(_padded(neg, *worst[:3]))
+            doubt.append((1 - TRUST) * _logistic(worst[3]) if r > 1 else np.zeros(len(worst[3])))
+        x = np.concatenate([chosen, plain, *hard])
+        y = np.concatenate([target, np.zeros(len(plain)), *doubt])
+        machine.fit(x, y, np.concatenate([share, np.ones(len(x) - len(chosen))]), EPOCHS, seed + r)
+    machine.threshold = _threshold(machine, [streams[k] for k in held], labels[held])
     return machine
 
 
+def _logistic(raw: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
 def _threshold(machine: FactorizationMachine, streams: list[np.ndarray], labels: np.ndarray) -> float:
     """Raw score of best F1 on held-out documents, negatives counting fourfold as labels are richer in positives than the corpus.
 
-    Of equally good cuts the one nearest to -0.5 is taken. With fewer than five held-out positives the cut lies above the
-    held-out negatives, but not below -2.5.
+    To the held-out positives PRIOR expected ones are added, with logistic scores around 1, and a negative counts by how near it
+    comes to the cut, so that the rule is one for few and many labels. Of equally good cuts the one nearest to -0.5 is taken.
     """
     s = machine.score_all(streams)
-    if labels.sum() < 5:
-        return float(max(-2.5, s[labels == 0].max(initial=-3.0) + 0.5))
-    cuts = np.linspace(-2, 0.5, 26)  # a high cut would only follow wrong labels
-    f1 = np.array([2 * (hit := ((s >= c) & (labels == 1)).sum()) / (hit + 4 * ((s >= c) & (labels == 0)).sum() + (labels == 1).sum() + 1e-9) for c in cuts])
+    cuts = np.linspace(-2.5, 2.5, 51)
+    hit = np.array([((s >= c) & (labels == 1)).sum() for c in cuts]) + PRIOR * _logistic(1.0 - cuts)
+    wrong = np.array([_logistic(2 * (s[labels == 0] - c)).sum() for c in cuts])
+    f1 = 2 * hit / (hit + 4 * wrong + labels.sum() + PRIOR)
     best = cuts[f1 >= f1.max() - 1e-12]
     return float(best[np.abs(best + 0.5).argmin()])
 

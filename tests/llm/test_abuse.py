@@ -39,16 +39,20 @@ def test_prefix_sums_equal_direct_sums():
     m.w[-1], m.v[-1] = 0, 0
     from codewell.llm.abuse import _padded
 
-    for n in (1, 2, 5, 6, 7, 16, 17, 90):
-        h = WordHashes().of([f"x{k}" for k in range(n)])
-        s, a, b = m.window_scores(h)
-        assert np.allclose(s, m.raw(_padded(h, a, b)), atol=1e-3)
-        assert all(any(lo <= p < hi for lo, hi in zip(a, b, strict=True)) for p in range(n))
-        if n >= WINDOWS[-1][0]:
-            assert set(b - a) == {w for w, _ in WINDOWS}
-    texts = [WordHashes().of([f"y{k}" for k in range(n)]) for n in (3, 0, 40, 16, 11, 1, 6, 7, 0, 17, 300)]
-    alone = [m.window_scores(t)[0].max() if len(t) else -np.inf for t in texts]
-    assert np.allclose(m.score_all(texts), alone, atol=1e-6) and len(m.score_all([])) == 0
+    streams = [WordHashes().of([f"x{k}" for k in range(n)]) for n in (1, 0, 2, 5, 6, 7, 16, 17, 90, 0, 3)]
+    doc, a, b, raw = m.windows(streams)
+    assert np.allclose(raw, m.raw(_padded(streams, doc, a, b)), atol=1e-3)
+    for d, stream in enumerate(streams):
+        lo, hi = a[doc == d], b[doc == d]
+        assert all(any(x <= p < y for x, y in zip(lo, hi, strict=True)) for p in range(len(stream)))
+        if len(stream) > WINDOWS[-1][0]:
+            assert set(hi - lo) == {w for w, _ in WINDOWS}
+        if len(stream):
+            assert {(x, y) for x, y in zip(lo, hi, strict=True)} == {(x, y) for x, y in zip(*spans(len(stream)), strict=True)}
+    best = [raw[doc == d].max() if (doc == d).any() else -np.inf for d in range(len(streams))]
+    assert np.allclose(m.score_all(streams), best) and len(m.score_all([])) == 0
+    d, _, _, r = m.foremost(streams, 2)
+    assert np.allclose([r[d == k].max() for k in range(len(streams)) if len(streams[k])], [x for x in best if x > -np.inf]) and np.bincount(d).max() == 2
     assert m.score(WordHashes().of([])) == -np.inf and len(spans(3)[0]) == 1
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewell.llm.plain import without_marks
-from codewell.runtime import cut, parallelism
+from codewell.runtime import cut, keep, parallelism
 
 #: Rows of a block that are joined at once.
 BLOCK = 2000
@@ -343,11 +343,12 @@ def link_names(names: DataFrame, name: str = "name", weight: str | None = None)
             rows = [(k, w, s, n, completeness(s)) for s, n in zip(b["name"], b["n"], strict=True) for k, w in keys_of(s).items()]
             yield pd.DataFrame(rows, columns=["key", "whole", "name", "n", "full"])
 
-    keys = cut(spellings.mapInPandas(keyed, "key string, whole boolean, name string, n long, full int"))
+    keys = keep(spellings.mapInPandas(keyed, "key string, whole boolean, name string, n long, full int"))
     # blocks of one spelling, or of fully spelled ones that only share an initial, give no pair
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.max("whole").alias("_any")).where("_m > 1 and _any")
     sizes = sizes.select("key", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_parts"))
-    live = keys.join(sizes, "key")
+    live = cut(keys.join(sizes, "key"))
+    keys.unpersist()
     v = live.withColumn("part", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int")).alias("v")
     c = live.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("c")
     better = F.struct(F.col("c.full"), F.col("c.n"), F.col("v.name")) > F.struct(F.col("v.full"), F.col("v.n"), F.col("c.name"))

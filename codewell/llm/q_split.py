@@ -8,18 +8,18 @@ from codewell.llm.split import split_oversized
 from codewell.runtime import table
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(table(spark, sf_dir, "metadata"), ("document_id", "chunk_id"), "text")
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "metadata"), ("document_id", "chunk_id"), "text", with_text=with_text)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets of all pieces of every distinct chunk longer than 800 characters."""
-    return _pieces(spark, sf_dir).select("document_id", "chunk_id", "piece_start", "piece_end")
+    return _pieces(spark, sf_dir, False).select("document_id", "chunk_id", "piece_start", "piece_end")
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces themselves, numbered."""
-    return _pieces(spark, sf_dir).select("document_id", "chunk_id", "piece_no", "piece")
+    return _pieces(spark, sf_dir, True).select("document_id", "chunk_id", "piece_no", "piece")
 
 
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,23 +52,29 @@ def cut_spans(text: str, limit: int = 800, least: int = 400, overlap: int = 100)
 
 
 def split_oversized(
-    df: DataFrame, keys: tuple[str, ...], text: str, limit: int = 800, least: int = 400, overlap: int = 100
+    df: DataFrame, keys: tuple[str, ...], text: str, limit: int = 800, least: int = 400, overlap: int = 100, with_text: bool = True
 ) -> DataFrame:
-    """``(*keys, piece_no, piece_start, piece_end, piece)`` for every distinct row whose text is longer than the limit.
+    """``(*keys, piece_no, piece_start, piece_end, piece)`` for every distinct row whose text is longer than the limit; on
+    demand without the pieces' texts.
 
     The length filter runs in the JVM, so only oversized texts reach Python, spread over all tasks; the shuffle of the
     deduplication carries nothing else.
     """
     long = df.select(*keys, F.col(text).alias("_text")).where(F.char_length("_text") > limit).distinct()
     fields = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", piece_no int, piece_start int, piece_end int, piece string"
+    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", piece_no int, piece_start int, piece_end int" + ", piece string" * with_text
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for *key, body in batch.itertuples(index=False, name=None):
-                rows = [(*key, i, a, b, body[a:b]) for i, (a, b) in enumerate(cut_spans(body, limit, least, overlap))]
-                yield pd.DataFrame(rows, columns=[*keys, "piece_no", "piece_start", "piece_end", "piece"]).astype(
-                    {k: batch[k].dtype for k in keys}
-                )
+            bodies = batch["_text"].tolist()
+            spans = [cut_spans(body, limit, least, overlap) for body in bodies]
+            row = np.repeat(np.arange(len(batch)), [len(s) for s in spans])
+            start, end = np.array([p for s in spans for p in s], np.int64).reshape(-1, 2).T
+            out = batch[list(keys)].iloc[row].reset_index(drop=True)
+            out["piece_no"] = np.array([i for s in spans for i in range(len(s))], np.int64)
+            out["piece_start"], out["piece_end"] = start, end
+            if with_text:
+                out["piece"] = pd.Series([bodies[r][a:b] for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)], dtype=object)
+            yield out
 
     return long.mapInPandas(pieces, schema)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codewell.llm.terms import MAX_DEPTH, BurstTrie, adaptive_routes, count_terms, pack, route_of, unpack
+from codewell.llm.terms import BurstTrie, adaptive_routes, count_terms, pack, route_of, unpack
 
 
 @settings(max_examples=60, deadline=None)
@@ -25,7 +25,6 @@ def test_routes():
     routes = adaptive_routes(sizes, 60)
     assert "ab" in routes and "abc" in routes and "b" in routes
     assert route_of("abcd", routes) == "abc" and route_of("abx", routes) == "ab" and route_of("zz", routes) == ""
-    assert max(map(len, routes)) <= MAX_DEPTH
 
 
 @pytest.mark.parametrize("budget", [1, 40, 20_000])
@@ -47,3 +46,20 @@ def test_counts_equal_python(spark, budget):
     assert total.first()[0] == n
     none, zero = count_terms(df.limit(0))
     assert none.count() == 0 and zero.first()[0] == 0
+
+
+def test_hot_prefix_is_refined_and_tries_are_flushed(spark, monkeypatch):
+    """Nearly all terms share three letters; routes go deeper, and tasks send several tries."""
+    import codewell.llm.terms as terms
+
+    rng = random.Random(6)
+    words = ["abc" + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 9))) for _ in range(3000)] + ["q", "abd"]
+    rows = [(i, " ".join(words[k::97])) for i, k in enumerate(range(97))]
+    df = spark.createDataFrame(rows, "chunk_id int, text string").repartition(3)
+    monkeypatch.setattr(terms, "FLUSH", 400)
+    seen = []
+    routes = terms._routes
+    monkeypatch.setattr(terms, "_routes", lambda *a: seen.append(routes(*a)) or seen[-1])
+    got = {r.term: r.occurrences for r in terms.count_terms(df, budget=60)[0].collect()}
+    assert got == dict(Counter(words))
+    assert max(map(len, seen[0])) > 4 and all(r[:-1] in seen[0] for r in seen[0] if r)

@@ -9,7 +9,8 @@ bound below ``MISS``. Candidates are verified by exact shingle containment (an a
 ``window - 4 - 5 * slack`` of its five-word shingles) and then by the exact number of word edits.
 
 The evaluation items travel to the documents, never the other way: items are taken in slices of at most ``SLICE_WORDS`` words,
-whose sizes are counted first, and each slice is one pass over the documents without a shuffle.
+whose sizes are counted first. A pass over the documents, without a shuffle, searches each batch of them for up to
+``PASS_SLICES`` slices in turn, so a hundred times a usual benchmark is still one pass.
 
 Defined results: NULL, empty and blank texts and texts of fewer words hold nothing; items of fewer than ``window`` words cannot
 leak; repeated rows and several occurrences give a pair once, with the best match; an item equal to another leaks wherever
@@ -33,17 +34,20 @@ from codewell.llm.plain import WordHashes, without_marks
 from codewell.runtime import spread
 
 SHINGLE = 5
-CELL = 20  # shingles; a block is three cells, so two neighbours share one, more than an altered window of 20 words needs
-BLOCK = 3 * CELL + SHINGLE - 1  # words
+CELL = 18  # shingles, as many as a window of 20 words has with two more; every run of so many lies in two successive cells
+BLOCK = 2 * CELL + SHINGLE - 1  # words
 #: Words searched at once.
 GROUP_WORDS = 400_000
 #: Upper size of each partition in words, and the chance that a case at the bound is missed.
-PARTITIONS, MISS = (24, 40, BLOCK), 1e-4
+PARTITIONS, MISS = (24, 32, BLOCK), 1e-4
 #: Item words per slice: a slice's tables take a few dozen MB in each worker.
 SLICE_WORDS = 400_000
+#: Slices searched in one pass.
+PASS_SLICES = 16
 #: A tag: one word, or a name and attributes with "="; a short comment or declaration. Other text between < and > is text.
 _TAG = r"""<[^\s<>]{1,60}>|</?[a-z][\w:.-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]{0,200}"|'[^'<>]{0,200}'|[^\s<>"']{1,200})){0,20}\s*/?>|<![^\s<>]*(?:\s+[^\s<>]+){0,8}\s*>"""
 _MARKUP = re.compile(_TAG + r"|\[/?[^\]\[\n]{0,12}\]|\((?:x ?\d+|\d+ ?x|bis)\)|(?<!\w)(?:x\d+|\d+x)(?!\w)", re.IGNORECASE)
+_MAYBE = re.compile(r"[<\[(\d]")  # in any markup
 _WORD = re.compile(r"[^\W_]+")
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 
@@ -52,7 +56,8 @@ def words_of(text: str | None) -> list[str]:
     """Words without case, accents, punctuation, markup and repeat marks."""
     if not text:
         return []
-    text = _MARKUP.sub(" ", html.unescape(text))
+    text = html.unescape(text) if "&" in text else text
+    text = _MARKUP.sub(" ", text) if _MAYBE.search(text) else text
     return _WORD.findall(_APOSTROPHE.sub("", without_marks(text.casefold())))
 
 
@@ -111,6 +116,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], window: int, slack: int):
         self.window, self.slack = window, slack
+        self.enough = max(1, window - SHINGLE + 1 - SHINGLE * slack)
         hasher = WordHashes()
         self.ids, self.words, self.shingles = [], [], []
         for ident, text in items:
@@ -120,6 +126,12 @@ class ItemIndex:
                 self.words.append(w)
                 self.shingles.append(shingle_hashes(w))
         self.lists = [x.tolist() for x in self.shingles]
+        # every shingle of the items, and how often it stands in one of them at most
+        each = [np.unique(x, return_counts=True) for x in self.shingles]
+        known, most = (np.concatenate([e[i] for e in each]) if each else np.empty(0, np.uint64) for i in (0, 1))
+        order = np.lexsort((most, known))
+        last = np.flatnonzero(np.append(known[order][1:] != known[order][:-1], True)) if len(order) else order
+        self.known, self.most = known[order][last], most[order][last]
         self.counts = [hash_count(size, window, slack) for size in PARTITIONS]
         self.mults = multipliers(max(self.counts))
         span = window - SHINGLE + 1
@@ -142,7 +154,7 @@ class ItemIndex:
     def search_all(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
         """The same for many documents at once: each hash function is one pass over all their shingles.
 
-        Shingles are cut into cells; a block is three successive cells and the next block starts two cells on.
+        Shingles are cut into cells; a block is two successive cells and the next block starts a cell on.
         """
         found: list[dict[int, tuple[int, int]]] = [{} for _ in docs]
         usable = [d for d, w in enumerate(docs) if len(w) >= max(self.window - self.slack, SHINGLE)]
@@ -155,30 +167,35 @@ class ItemIndex:
         cells = -(-lengths // CELL)
         cell_base = np.cumsum(cells) - cells
         cell_at = np.concatenate([b + np.arange(0, n, CELL) for b, n in zip(base, lengths, strict=True)])
-        blocks = np.maximum(1, -(-(cells - 1) // 2))
+        blocks = np.maximum(1, cells - 1)
         owner = np.repeat(np.arange(len(usable)), blocks)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        first = cell_base[owner] + 2 * place
-        last = cell_base[owner] + cells[owner] - 1
-        second, third = np.minimum(first + 1, last), np.minimum(first + 2, last)
-        size = np.minimum(lengths[owner] - 2 * CELL * place, 3 * CELL) + SHINGLE - 1
+        first = cell_base[owner] + place
+        second = np.minimum(first + 1, cell_base[owner] + cells[owner] - 1)
+        size = np.minimum(lengths[owner] - CELL * place, 2 * CELL) + SHINGLE - 1
         needed = np.array(self.counts)[np.searchsorted(PARTITIONS, size)]
         hits = []
         for j, mult in enumerate(self.mults):
             x = flat * mult
             x ^= x >> np.uint64(32)
             least = np.minimum.reduceat(x, cell_at)
-            mins = np.minimum(np.minimum(least[first], least[second]), least[third])
+            mins = np.minimum(least[first], least[second])
             keys, owners = self.tables[j]
             lo, hi = np.searchsorted(keys, mins), np.searchsorted(keys, mins, "right")
             for b in np.flatnonzero((hi > lo) & (needed > j)).tolist():
                 hits.append(b * len(self.ids) + owners[lo[b] : hi[b]])
         if not hits:
             return found
+        # a block with fewer shingles of any item than an altered window keeps cannot pass the exact containment
+        near = np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
+        kept = np.concatenate([[0], np.cumsum(np.where(self.known[near] == flat, self.most[near], 0))])
+        begin = base[owner] + CELL * place
+        enough = kept[begin + size - SHINGLE + 1] - kept[begin] >= self.enough
+        codes = np.unique(np.concatenate(hits))
         at_block, held = -1, set()
-        for code in np.unique(np.concatenate(hits)).tolist():
+        for code in codes[enough[codes // len(self.ids)]].tolist():
             b, i = divmod(code, len(self.ids))
-            k, at, n = owner[b], int(2 * CELL * place[b]), int(size[b])
+            k, at, n = owner[b], int(CELL * place[b]), int(size[b])
             if b != at_block:
                 at_block, held = b, set(shingles[k][at : at + n - SHINGLE + 1].tolist())
             best = self._verify(i, docs[usable[k]][at : at + n], held)
@@ -189,8 +206,7 @@ class ItemIndex:
 
     def _verify(self, i: int, block: np.ndarray, block_shingles: set[int]) -> int | None:
         """Exact shingle containment of each window, then its exact edits; None if no window is within the slack."""
-        w, span = self.window, self.window - SHINGLE + 1
-        enough = max(1, span - SHINGLE * self.slack)
+        w, span, enough = self.window, self.window - SHINGLE + 1, self.enough
         inside = [s in block_shingles for s in self.lists[i]]
         if sum(inside) < enough:
             return None
@@ -212,7 +228,8 @@ _BUILT: dict[str, ItemIndex] = {}
 def built_index(token: str, items: list[tuple[int, str]], window: int, slack: int) -> ItemIndex:
     """The worker's index of a slice; a Python process serves many tasks and builds it once."""
     if token not in _BUILT:
-        _BUILT.clear()
+        if len(_BUILT) >= PASS_SLICES:
+            _BUILT.clear()
         _BUILT[token] = ItemIndex(items, window, slack)
     return _BUILT[token]
 
@@ -228,12 +245,14 @@ def find_leaks(
     corpus = spread(docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), 2)
     kinds = {"doc": corpus.schema["doc"].dataType.simpleString(), "item": narrow.schema["item"].dataType.simpleString()}
     result = None
-    for k in range(slices):
-        part = narrow.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k)
-        rows = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about SLICE_WORDS words
-
-        def search(batches: Iterator[pd.DataFrame], rows=rows, token=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
-            index, hasher = built_index(token, rows.value, window, slack), WordHashes()
+    for p in range(0, slices, PASS_SLICES):
+        held = []
+        for k in range(p, min(slices, p + PASS_SLICES)):
+            part = narrow.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k)
+            held.append((uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in part.collect()])))  # at most about SLICE_WORDS words
+
+        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            hasher = WordHashes()
             for batch in batches:
                 ids, group, size = [], [], 0
                 for n, (doc, body) in enumerate(zip(batch["doc"], batch["text"], strict=True), 1):
@@ -241,7 +260,10 @@ def find_leaks(
                     group.append(hasher.of(words_of(body)))
                     size += len(group[-1])
                     if size >= GROUP_WORDS or n == len(batch):
-                        out = [(d, index.ids[i], edits, at) for d, of in zip(ids, index.search_all(group), strict=True) for i, (edits, at) in of.items()]
+                        out = []
+                        for token, rows in held:
+                            index = built_index(token, rows.value, window, slack)
+                            out += [(d, index.ids[i], edits, at) for d, of in zip(ids, index.search_all(group), strict=True) for i, (edits, at) in of.items()]
                         yield pd.DataFrame(out, columns=["doc", "item", "edits", "word_position"])
                         ids, group, size = [], [], 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -10,14 +11,17 @@ import xxhash
 
 
 @cache
-def _marks() -> dict[int, None]:
-    """All combining characters, for str.translate."""
-    return dict.fromkeys(c for c in range(0x110000) if unicodedata.combining(chr(c)))
+def _marks() -> re.Pattern:
+    """Runs of combining characters."""
+    marks = [c for c in range(0x110000) if unicodedata.combining(chr(c))]
+    starts = [c for c in marks if not unicodedata.combining(chr(c - 1))]
+    ends = [c for c in marks if c == 0x10FFFF or not unicodedata.combining(chr(c + 1))]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+")
 
 
 def without_marks(text: str) -> str:
     """Compatibility decomposition without accents and other combining marks."""
-    return text if text.isascii() else unicodedata.normalize("NFKD", text).translate(_marks())
+    return text if text.isascii() else _marks().sub("", unicodedata.normalize("NFKD", text))
 
 
 class WordHashes(dict):

@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codewell.runtime import broadcast_within, cut, keep
+
+#: Keys whose bounds are broadcast to the rows.
+KEYS_BROADCAST = 200_000
+
 
 def distinct_postings(index: DataFrame) -> DataFrame:
     """Explode packed postings to one row ``(term, chunk_id, tf)`` per term and chunk.
@@ -33,16 +38,33 @@ def value_frequencies(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def top_ids(rows: DataFrame, key: str, value: str, ident: str, k: int) -> DataFrame:
-    """The ``k`` ids with the highest value per key, equal values by smaller id.
+    """``(key, ident, value, rank)``: the ``k`` ids with the highest value per key, equal values by smaller id.
 
-    Two ranked windows: the first is partitioned by *(key, value)*, and as Spark limits a ranked window before its shuffle,
-    each task sends at most ``k`` rows of a group; the second ranks the few survivors per key. Same result as one window
-    per key, without the hot key's rows in one task.
+    The weighted values *(key, value, n)* say from which value on a key has k rows; only rows from there on are ranked, by two
+    windows: the first is partitioned by *(key, value)*, and as Spark limits a ranked window before its shuffle, each task
+    sends at most ``k`` rows of a group, however many share the value; the second ranks the few survivors per key.
     """
-    inner = Window.partitionBy(key, value).orderBy(ident)
-    outer = Window.partitionBy(key).orderBy(F.desc(value), ident)
-    few = rows.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= k).drop("_r")
-    return few.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k)
+    rows = keep(rows.select(key, ident, value))
+    try:
+        above = Window.partitionBy(key).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+        counted = value_frequencies(rows, key, value).withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+        bounds = cut(counted.where(F.col("_above") < k).groupBy(key).agg(F.min(value).alias("_least")))
+        few = _join_bounds(rows, bounds, key, ident).where(F.col(value) >= F.col("_least")).drop("_least")
+        inner = Window.partitionBy(key, value).orderBy(ident)
+        outer = Window.partitionBy(key).orderBy(F.desc(value), ident)
+        few = few.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= k).drop("_r")
+        return cut(few.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k))
+    finally:
+        rows.unpersist()
+
+
+def _join_bounds(rows: DataFrame, bounds: DataFrame, key: str, ident: str, salts: int = 32) -> DataFrame:
+    """Rows with the one row of their key: by broadcast up to KEYS_BROADCAST keys, beyond that with the keys' rows dealt by salt."""
+    hinted = broadcast_within(bounds, KEYS_BROADCAST)
+    if hinted is not bounds:
+        return rows.join(hinted, key)
+    salted = bounds.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int")).join(salted, [key, "_s"]).drop("_s")
 
 
 def weighted_profile(freq: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:

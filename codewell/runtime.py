@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -21,14 +24,30 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where it is unset (tests)."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); on a local master without one a temporary folder, which is
+    removed at the end. Elsewhere an unset folder is an error, as executors could not read each other's files.
+
+    Checkpoints that nothing refers to any more are deleted by the cleaner of the session.
+    """
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="codewell-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="codewell-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner delete what belongs to frames that are out of use, instead of at its next turn."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which survives the loss of executors.
 

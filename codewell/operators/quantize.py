@@ -71,6 +71,50 @@ def fit_kmeans(frames: DataFrame, k: int, seed: int = 42, rounds: int = 20, vect
     return frames.sparkSession.createDataFrame(rows, "word_id int, centroid array<double>")
 
 
+def batch_sums(batch: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the rows nearest to each centroid."""
+    near = ((centroids**2).sum(1) - 2 * batch @ centroids.T).argmin(1)
+    sums = np.zeros_like(centroids)
+    np.add.at(sums, near, batch)
+    return sums, np.bincount(near, minlength=len(centroids))
+
+
+def fit_minibatch(frames: DataFrame, k: int, batches: int = 20, seed: int = 42, vector: str = "vector") -> DataFrame:
+    """``(word_id, centroid)`` by mini-batch k-means over a table: its rows are dealt into ``batches`` by hash, each of which is
+    one distributed pass that sends k sums a task.
+
+    NULL vectors and those with NULL, NaN or infinity are left out; with fewer than k vectors the result is empty.
+    """
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = frames.where(F.col(vector).isNotNull() & finite).select(F.col(vector).cast("array<double>").alias("v")).withColumn("h", F.xxhash64("v"))
+    first = rows.orderBy(F.pmod("h", F.lit(1_000_003)), "h").limit(k).collect()  # a codebook's size
+    spark, kinds = frames.sparkSession, "word_id int, centroid array<double>"
+    if len(first) < k:
+        return spark.createDataFrame([], kinds)
+    model = MiniBatchKMeans(k, seed)
+    model.centroids = np.array([r["v"] for r in first], np.float64)
+    for b in range(batches):
+        centroids = spark.sparkContext.broadcast(model.centroids)
+
+        def run(parts: Iterator[pd.DataFrame], centroids=centroids) -> Iterator[pd.DataFrame]:
+            sums, counts = np.zeros_like(centroids.value), np.zeros(k, np.int64)
+            for p in parts:
+                if len(p):
+                    s, c = batch_sums(np.stack(p["v"].to_numpy()), centroids.value)
+                    sums, counts = sums + s, counts + c
+            hit = np.flatnonzero(counts)
+            yield pd.DataFrame({"w": hit, "n": counts[hit], "s": list(sums[hit])})
+
+        part = rows.where(F.pmod("h", F.lit(batches)) == b).select("v").mapInPandas(run, "w int, n long, s array<double>")
+        total = part.groupBy("w").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(model.centroids.shape[1])]).collect()
+        sums, counts = np.zeros_like(model.centroids), np.zeros(k, np.int64)
+        for row in total:
+            counts[row["w"]], sums[row["w"]] = row["n"], row[2:]
+        model.update(sums, counts)
+        centroids.unpersist()
+    return spark.createDataFrame(model.rows(), kinds)
+
+
 class MiniBatchKMeans:
     """Incremental codebook training: each batch pulls its nearest centroids by a step of one over their counts."""
 
@@ -89,10 +133,10 @@ class MiniBatchKMeans:
             self.centroids = batch[self.rng.choice(len(batch), self.k, replace=False)].copy()
         if not len(batch):
             return self
-        near = ((self.centroids**2).sum(1) - 2 * batch @ self.centroids.T).argmin(1)
-        counts = np.bincount(near, minlength=self.k)
-        sums = np.zeros_like(self.centroids)
-        np.add.at(sums, near, batch)
+        return self.update(*batch_sums(batch, self.centroids))
+
+    def update(self, sums: np.ndarray, counts: np.ndarray) -> MiniBatchKMeans:
+        """Learn from the sums and counts of a batch by nearest centroid."""
         self.counts += counts
         hit = counts > 0
         self.centroids[hit] += (sums[hit] - counts[hit, None] * self.centroids[hit]) / self.counts[hit, None]

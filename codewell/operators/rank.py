@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from codewell.functions import weights
 from codewell.functions.text import STOPWORDS, tokens
-from codewell.runtime import broadcast_within
 
 #: Query vectors up to so many rows are broadcast to the postings, larger batches are joined by shuffle.
 QUERY_BROADCAST = 100_000
@@ -39,32 +38,63 @@ def query_vector(terms: DataFrame, idf: DataFrame, scheme: str = weights.LOG10)
     )
 
 
-def scores(vector: DataFrame, post: DataFrame, item_norms: DataFrame, scheme: str = weights.LOG10, many: bool = False) -> DataFrame:
-    """``(query_id, chunk_id, cosine, coverage, rank_key, first_pos)`` of every chunk that holds a query term.
+def _hint(vector: DataFrame):
+    """A broadcast hint for query vectors of a counted size; both uses of them follow one count."""
+    return F.broadcast if vector.limit(QUERY_BROADCAST + 1).count() <= QUERY_BROADCAST else (lambda df: df)
 
-    With ``many`` queries the postings are partitioned by chunk first: the products, many times the postings, are then summed where
-    they arise instead of being shuffled.
-    """
-    # per joined row one product; what belongs to the query as a whole is joined after the sum
-    held = post.select("term", "chunk_id", weights.weight(F.col("tf"), F.lit(1.0), scheme).alias("_w"))
-    held = held.repartition("chunk_id") if many else held
-    asked = broadcast_within(vector.select("query_id", "term", "pos", (F.col("weight") * F.col("idf")).alias("_q")), QUERY_BROADCAST)
-    hit = held.join(asked, "term").select("query_id", "chunk_id", "pos", (F.col("_q") * F.col("_w")).alias("part"))
-    summed = hit.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("dot"), F.count(F.lit(1)).alias("matched"), F.min("pos").alias("first_pos"))
-    summed = summed.join(broadcast_within(vector.select("query_id", "n_terms", "query_norm").distinct(), QUERY_BROADCAST), "query_id")
-    normed = summed.join(item_norms.where("norm_value > 0"), "chunk_id").where("query_norm > 0")
+
+def _products(vector: DataFrame, held: DataFrame, keys: list[str], hint, scheme: str) -> DataFrame:
+    """``(query_id, *keys, dot, matched, first_pos)``: per joined row one product; what belongs to the query as a whole is joined
+    after the sum."""
+    asked = hint(vector.select("query_id", "term", "pos", (F.col("weight") * F.col("idf")).alias("_q")))
+    hit = held.withColumn("_w", weights.weight(F.col("tf"), F.lit(1.0), scheme)).join(asked, "term").select("query_id", *keys, "pos", (F.col("_q") * F.col("_w")).alias("part"))
+    return hit.groupBy("query_id", *keys).agg(F.sum("part").alias("dot"), F.count(F.lit(1)).alias("matched"), F.min("pos").alias("first_pos"))
+
+
+def _rated(summed: DataFrame, vector: DataFrame, hint) -> DataFrame:
+    """Cosine, coverage and rank key of sums with their ``norm_value``."""
+    whole = summed.join(hint(vector.select("query_id", "n_terms", "query_norm").distinct()), "query_id").where("query_norm > 0")
     cosine = weights.cosine(F.col("dot"), F.col("query_norm"), F.col("norm_value"))
     coverage = F.col("matched") / F.col("n_terms")
-    return normed.select(
-        "query_id", "chunk_id", F.round(cosine, DIGITS).alias("cosine"), coverage.alias("coverage"), F.round(cosine * coverage, DIGITS).alias("rank_key"), "first_pos"
-    )
+    return whole.select(
+        *[c for c in summed.columns if c not in ("dot", "matched", "norm_value")],
+        F.round(cosine, DIGITS).alias("cosine"), coverage.alias("coverage"), F.round(cosine * coverage, DIGITS).alias("rank_key"),
+    )
+
+
+def scores(vector: DataFrame, post: DataFrame, item_norms: DataFrame, scheme: str = weights.LOG10) -> DataFrame:
+    """``(query_id, chunk_id, cosine, coverage, rank_key, first_pos)`` of every chunk that holds a query term."""
+    hint = _hint(vector)
+    summed = _products(vector, post.select("term", "chunk_id", "tf"), ["chunk_id"], hint, scheme)
+    return _rated(summed.join(item_norms.where("norm_value > 0"), "chunk_id"), vector, hint)
 
 
 def best_per_document(scored: DataFrame, documents: DataFrame) -> DataFrame:
-    """The best chunk of every document: score, then first matching query term, then chunk id."""
+    """The best chunk of every document: score, then first matching query term, then chunk id.
+
+    ``documents`` may name a chunk twice, as only one row of each document stays.
+    """
     joined = scored.join(documents.select("chunk_id", "document_id").where("document_id is not null"), "chunk_id")
+    return _first_of_document(joined)
+
+
+def _first_of_document(scored: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id", "document_id").orderBy(F.desc("rank_key"), "first_pos", "chunk_id")
-    return joined.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def batch_best(vector: DataFrame, post: DataFrame, item_norms: DataFrame, documents: DataFrame, scheme: str = weights.LOG10) -> DataFrame:
+    """The same as best_per_document(scores()) for very many queries.
+
+    Norm and document are joined to the postings before the queries multiply them, and the postings are partitioned by document:
+    products, sums and the best chunk of a document then stay in their partition. A ranked window over queries, limited before its
+    shuffle, sends k rows a query and partition.
+    """
+    hint = _hint(vector)
+    held = post.select("term", "chunk_id", "tf").join(item_norms.where("norm_value > 0"), "chunk_id")
+    held = held.join(documents.select("chunk_id", "document_id").where("document_id is not null").distinct(), "chunk_id").repartition("document_id")
+    summed = _products(vector, held, ["document_id", "chunk_id", "norm_value"], hint, scheme)
+    return _first_of_document(_rated(summed, vector, hint))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "rank_key", ident: str = "chunk_id") -> DataFrame:
@@ -73,6 +103,11 @@ def top_k(scored: DataFrame, k: int, score: str = "rank_key", ident: str = "chun
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def with_metadata(top: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Late materialisation: titles and texts are read for the winners only."""
-    return metadata.join(broadcast_within(top, QUERY_BROADCAST), "chunk_id")
+def with_metadata(top: DataFrame, metadata: DataFrame, rows: int | None = None) -> DataFrame:
+    """Late materialisation: titles and texts of the winners only, each once.
+
+    ``rows`` is what ``top`` can have at most, if that is known; up to QUERY_BROADCAST winners are broadcast to the scan, so that
+    no other text is shuffled.
+    """
+    few = F.broadcast(top) if rows is not None and rows <= QUERY_BROADCAST else top
+    return metadata.join(few, "chunk_id").dropDuplicates(["query_id", "place"])

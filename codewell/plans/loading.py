@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewell.functions import tags, vectors, weights
-from codewell.operators import knn, quality, quantize, rank
-from codewell.runtime import table
+from codewell.operators import knn, postings, quality, quantize, rank
+from codewell.runtime import cut, table
 
 DIM, FRAMES = 1000, 20
 #: The words of the acoustic query and how often each occurs.
@@ -88,11 +88,11 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _acoustic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings, idf and magnitudes: raw frequencies, N counted in the index."""
-    post = histogram_sparse(spark, sf_dir).select(F.col("word_id").alias("term"), F.col("item_id").alias("chunk_id"), "tf")
+    # frames are quantised once for all that follows
+    post = cut(histogram_sparse(spark, sf_dir).select(F.col("word_id").alias("term"), F.col("item_id").alias("chunk_id"), "tf"))
     n = post.agg(F.countDistinct("chunk_id").alias("n"))
-    idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", weights.smooth_idf(F.col("n"), F.col("df")).alias("idf"))
-    w = weights.weight(F.col("tf"), F.col("idf"), weights.RAW)
-    return post, idf, post.join(F.broadcast(idf), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("norm_value"))  # a codebook's size bounds idf
+    idf = cut(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", weights.smooth_idf(F.col("n"), F.col("df")).alias("idf")))
+    return post, idf, postings.norms(post, idf.select("term", "idf"), weights.RAW)
 
 
 def acoustic_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +143,12 @@ def audio_first_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that refer to nothing: index terms without codebook entry, norms without paragraph."""
+    """Keys that refer to nothing: index terms without codebook entry, norms without paragraph, picture lines not yet stored."""
     a = quality.orphans(table(spark, sf_dir, "term_index"), "term", table(spark, sf_dir, "codebook"))
     b = quality.orphans(table(spark, sf_dir, "doc_norms"), "chunk_id", table(spark, sf_dir, "metadata"))
+    c = quality.orphans(table(spark, sf_dir, "vectores_fashion"), "nombre_archivo", table(spark, sf_dir, "fashion_images"))
     name = lambda df, what, key: df.select(F.lit(what).alias("relation"), F.col(key).cast("string").alias("key"))
-    return name(a, "term_index", "term").unionByName(name(b, "doc_norms", "chunk_id"))
+    return name(a, "term_index", "term").unionByName(name(b, "doc_norms", "chunk_id")).unionByName(name(c, "vectores_fashion", "nombre_archivo"))
 
 
 def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +271,9 @@ SELECT (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM good) - (
     "audio_first_per_file": "SELECT filename, min(audio_id) AS audio_id, count(*) AS n_rows FROM audio_dataset WHERE filename IS NOT NULL GROUP BY filename",
     "fk_orphans": """
 SELECT DISTINCT 'term_index' AS relation, term AS key FROM term_index WHERE term IS NOT NULL AND term NOT IN (SELECT term FROM codebook WHERE term IS NOT NULL)
-UNION ALL SELECT DISTINCT 'doc_norms', CAST(chunk_id AS VARCHAR) FROM doc_norms WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM metadata WHERE chunk_id IS NOT NULL)""",
+UNION ALL SELECT DISTINCT 'doc_norms', CAST(chunk_id AS VARCHAR) FROM doc_norms WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM metadata WHERE chunk_id IS NOT NULL)
+UNION ALL SELECT DISTINCT 'vectores_fashion', nombre_archivo FROM vectores_fashion WHERE nombre_archivo IS NOT NULL
+  AND nombre_archivo NOT IN (SELECT nombre_archivo FROM fashion_images WHERE nombre_archivo IS NOT NULL)""",
     "pk_duplicates": " UNION ALL ".join(
         f"SELECT '{t}' AS relation, CAST({k} AS VARCHAR) AS key, count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1"
         for t, k in (("metadata", "chunk_id"), ("doc_norms", "chunk_id"), ("audio_dataset", "audio_id"), ("fashion_images", "id"), ("term_index", "segment_no"))

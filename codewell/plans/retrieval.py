@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codewell.functions.stem import stem_terms
 from codewell.functions.text import LINE_ENDS, SPACES, STOPWORDS, paragraphs, tokens
 from codewell.operators import numbering, postings, rank
-from codewell.runtime import broadcast_within, cut, table
+from codewell.runtime import cut, table
 
 #: Vocabulary cut, and the queries of the registered searches.
 TOP_TERMS = 5000
@@ -59,19 +59,18 @@ class Index:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.metadata = chunks(spark, sf_dir)
+        self.metadata = table(spark, sf_dir, "metadata")
         counts = cut(_counts(spark, sf_dir))
         self.book = cut(postings.codebook(postings.term_stats(counts), TOP_TERMS))
         self.idf = cut(postings.idf_table(self.book, postings.chunk_count(counts)))
         self.postings = postings.postings(counts, self.book)
         self.norms = postings.norms(self.postings, self.idf)
 
-    def scores(self, queries: DataFrame, many: bool = False) -> DataFrame:
-        vector = rank.query_vector(rank.query_terms(queries), self.idf)
-        return rank.scores(vector, self.postings, self.norms, many=many)
+    def vector(self, queries: DataFrame) -> DataFrame:
+        return rank.query_vector(rank.query_terms(queries), self.idf)
 
-    def search(self, queries: DataFrame, k: int, many: bool = False) -> DataFrame:
-        return rank.top_k(rank.best_per_document(self.scores(queries, many), self.metadata), k)
+    def scores(self, queries: DataFrame) -> DataFrame:
+        return rank.scores(self.vector(queries), self.postings, self.norms)
 
 
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +115,20 @@ def text_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("chunk_id", F.round("cosine", 6).alias("cosine"), F.round("coverage", 6).alias("coverage"), F.round("rank_key", 6).alias("rank_key"))
 
 
+_FOUND = "place int, document_id int, chunk_id int, title string, artist string, score double, coverage double, rank_key double, text string"
+
+
+def _words(spark: SparkSession, text: str) -> list[str]:
+    """Distinct tokens of one query; worked out on the driver without a job."""
+    return rank.one_query(spark, text).select(F.array_distinct(tokens(F.col("text"))).alias("t")).first()["t"]
+
+
 def _top(spark: SparkSession, sf_dir: str, text: str, k: int = 10) -> DataFrame:
+    if not _words(spark, text):  # nothing to look for, nothing to build
+        return spark.createDataFrame([], _FOUND)
     index = Index(spark, sf_dir)
-    top = rank.with_metadata(index.search(rank.one_query(spark, text), k).drop("document_id"), index.metadata)
+    best = rank.best_per_document(index.scores(rank.one_query(spark, text)), index.metadata)
+    top = rank.with_metadata(rank.top_k(best, k).drop("document_id"), index.metadata, k)
     return top.select(
         "place", "document_id", "chunk_id", "title", "artist", F.round("cosine", 6).alias("score"), F.round("coverage", 6).alias("coverage"), F.round("rank_key", 6).alias("rank_key"), "text"
     )
@@ -152,13 +162,14 @@ def text_search_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark texts as queries in one plan, five songs each."""
     queries = table(spark, sf_dir, "benchmark").where("text is not null").dropDuplicates(["item_id"]).select(F.col("item_id").alias("query_id"), "text")
-    top = Index(spark, sf_dir).search(queries, 5, many=True)
+    index = Index(spark, sf_dir)
+    top = rank.top_k(rank.batch_best(index.vector(queries), index.postings, index.norms, index.metadata), 5)
     return top.select("query_id", "place", "document_id", "chunk_id", F.round("rank_key", 6).alias("rank_key"))
 
 
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query over stems: terms are mapped through the distinct vocabulary and counted again."""
-    meta, raw = chunks(spark, sf_dir), cut(_counts(spark, sf_dir))
+    meta, raw = table(spark, sf_dir, "metadata"), cut(_counts(spark, sf_dir))
     terms = rank.query_terms(rank.one_query(spark, QUERY))
     stems = cut(stem_terms(raw.select("term").unionByName(terms.select("term"))))
     counts = cut(raw.join(stems, "term").groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf").alias("tf"), F.min("pos").alias("pos")))
@@ -171,9 +182,12 @@ def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("place", "document_id", "chunk_id", F.round("rank_key", 6).alias("rank_key"))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """idf, postings and norms as stored: the idf in force last, each posting once, one norm per chunk."""
-    index = table(spark, sf_dir, "term_index").where("term is not null")
+def _stored(spark: SparkSession, sf_dir: str, words: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """idf, postings and norms as stored: the idf in force last, each posting once, one norm per chunk.
+
+    With the words of a query, only their segments are read: the filter reaches the scan, and postings are exploded behind it.
+    """
+    index = table(spark, sf_dir, "term_index").where("term is not null" if words is None else F.col("term").isin(words))
     idf = index.where("idf_value is not null").groupBy("term").agg(F.max_by("idf_value", "segment_no").alias("idf"))
     post = postings.unpack(index).where("chunk_id is not null and tf is not null").groupBy("term", "chunk_id").agg(F.max("tf").alias("tf"))
     norm = table(spark, sf_dir, "doc_norms").where("norm_value is not null").groupBy("chunk_id").agg(F.max("norm_value").alias("norm_value"))
@@ -182,19 +196,18 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 def term_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored idf and number of postings of the terms of a query, fetched as one batch."""
-    idf, post, _ = _stored(spark, sf_dir)
-    asked = broadcast_within(rank.query_terms(rank.one_query(spark, QUERY)).select("term"), rank.QUERY_BROADCAST)
-    found = post.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+    idf, post, _ = _stored(spark, sf_dir, _words(spark, QUERY))
+    found = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
     return found.join(idf, "term").select("term", F.round("idf", 6).alias("idf"), "df", "cf")
 
 
 def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query answered from the stored index and norms."""
-    idf, post, norm = _stored(spark, sf_dir)
+    idf, post, norm = _stored(spark, sf_dir, _words(spark, QUERY))
     vector = rank.query_vector(rank.query_terms(rank.one_query(spark, QUERY)), idf)
-    meta = chunks(spark, sf_dir)
+    meta = table(spark, sf_dir, "metadata")
     top = rank.top_k(rank.best_per_document(rank.scores(vector, post, norm), meta), 10)
-    return rank.with_metadata(top.drop("document_id"), meta).select("place", "document_id", "chunk_id", "title", "artist", F.round("rank_key", 6).alias("rank_key"))
+    return rank.with_metadata(top.drop("document_id"), meta, 10).select("place", "document_id", "chunk_id", "title", "artist", F.round("rank_key", 6).alias("rank_key"))
 
 
 def index_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

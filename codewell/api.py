@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -146,6 +147,14 @@ class ImageSearch:
             raise NotFound(image_id)
         return row["ruta_original"]
 
+    def render(self, image_id: int) -> tuple[bytes, str]:
+        """Bytes and media type of a stored picture; not found without a row or a file."""
+        path = os.path.normpath(self.path(image_id))
+        if not os.path.isfile(path):
+            raise NotFound(image_id)
+        with open(path, "rb") as f:
+            return f.read(), "image/jpeg"
+
 
 class Engines:
     """The three engines, started independently: a failure of one leaves the others up."""

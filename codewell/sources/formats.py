@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +38,28 @@ def write_json_dict(df: DataFrame, key: str, value: str, path: str) -> None:
 def read_json_lines_dict(spark: SparkSession, path: str, key: str, value: str, kind: str) -> DataFrame:
     """Rows of one-entry objects, the form written by write_json_dict."""
     return spark.read.text(path).select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias(key, value))
+
+
+def offset_dictionary(spark: SparkSession, path: str, key: str = "term") -> DataFrame:
+    """``(term, file, offset)``: where each object of JSON-lines files begins, in bytes, for look-ups by seeking.
+
+    One task reads one file, block by block, so a file's size does not matter.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                rows, at = [], 0
+                with open(unquote(urlparse(name).path), "rb") as f:
+                    for line in f:
+                        if line.strip():
+                            rows.append((json.loads(line)[key], name, at))
+                        at += len(line)
+                        if len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=[key, "file", "offset"])
+                            rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=[key, "file", "offset"])
+
+    return files.mapInPandas(run, f"{key} string, file string, offset long")

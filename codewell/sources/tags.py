@@ -52,16 +52,64 @@ def read_tags(content: bytes | None) -> dict[str, str]:
     return out
 
 
+# Fixed values of MPEG audio: kbit/s by (version 1 or not, layer), sampling rates of version 1, samples of a frame.
+_KBITS = {
+    (True, 1): "32 64 96 128 160 192 224 256 288 320 352 384 416 448", (True, 2): "32 48 56 64 80 96 112 128 160 192 224 256 320 384",
+    (True, 3): "32 40 48 56 64 80 96 112 128 160 192 224 256 320", (False, 1): "32 48 56 64 80 96 112 128 144 160 176 192 224 256",
+    (False, 2): "8 16 24 32 40 48 56 64 80 96 112 128 144 160", (False, 3): "8 16 24 32 40 48 56 64 80 96 112 128 144 160",
+}
+_RATES = (44_100, 48_000, 32_000)
+
+
+def _frame(head: bytes) -> tuple[int, float] | None:
+    """Length in bytes and seconds of the frame with this head; None where it is no head."""
+    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xE0 != 0xE0:
+        return None
+    version, layer = head[1] >> 3 & 3, 4 - (head[1] >> 1 & 3)
+    bits, rate = head[2] >> 4, head[2] >> 2 & 3
+    if version == 1 or layer == 4 or bits in (0, 15) or rate == 3:
+        return None
+    first = version == 3
+    hz = _RATES[rate] >> (0 if first else 1 if version == 2 else 2)
+    kbits = int(_KBITS[first, layer].split()[bits - 1])
+    samples = 384 if layer == 1 else 1152 if first or layer == 2 else 576
+    pad = head[2] >> 1 & 1
+    size = (12_000 * kbits // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hz + pad
+    return size, samples / hz
+
+
+def mpeg_seconds(content: bytes | None) -> float | None:
+    """Duration of an MPEG audio stream, from the heads of all its frames, whatever their bit rates; None without two frames in
+    a row."""
+    if not content:
+        return None
+    at, total, frames = 0, 0.0, 0
+    if content[:3] == b"ID3" and len(content) > 10:
+        at = 10 + _size(content[6:10], True)
+    while 0 <= at < len(content) - 3:
+        frame = _frame(content[at : at + 4])
+        after = None if frame is None else _frame(content[at + frame[0] : at + frame[0] + 4])
+        if frame and (frames or after or at + frame[0] == len(content)):
+            at, total, frames = at + frame[0], total + frame[1], frames + 1
+        elif frames and content[at : at + 3] == b"TAG":
+            break
+        else:
+            at = content.find(b"\xff", at + 1)
+    return total if frames else None
+
+
 def with_tags(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add title, collaborators, album, track_number and duration_seconds (where the tags state it) to ``(filename, content)``."""
+    """Add title, collaborators, album, track_number and duration_seconds (of the stream, else as the tags state it) to
+    ``(filename, content)``."""
     kept = [c for c in files.columns]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [read_tags(c) for c in b[content]]
-            yield b.assign(**{k: [f.get(k) for f in found] for k in ("title", "collaborators", "album", "track", "length")})
+            texts = {k: [f.get(k) for f in found] for k in ("title", "collaborators", "album", "track", "length")}
+            yield b.assign(**texts, heard=pd.Series([mpeg_seconds(c) for c in b[content]], index=b.index, dtype=object))
 
-    tagged = files.mapInPandas(run, f"{fields}, title string, collaborators string, album string, track string, length string")
-    seconds = F.col("length").try_cast("double") / 1000
+    tagged = files.mapInPandas(run, f"{fields}, title string, collaborators string, album string, track string, length string, heard double")
+    seconds = F.coalesce("heard", F.col("length").try_cast("double") / 1000)
     return tagged.select(*kept, "title", "collaborators", "album", track_number(F.col("track")).alias("track_number"), seconds.alias("duration_seconds"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -31,8 +33,9 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_image_lines(images: DataFrame, path: str) -> None:
-    """Picture lines ``(nombre_archivo, ruta_original, histograma)``."""
-    write_json_lines(images.select("nombre_archivo", "ruta_original", "histograma"), path)
+    """Picture lines ``(nombre_archivo, ruta_original, histograma)``; relative paths are made absolute from the driver's folder."""
+    absolute = F.regexp_replace(F.col("ruta_original"), r"^(?![/\\]|[A-Za-z]:|[a-z]+:/)", os.getcwd().replace("\\", "\\\\").replace("$", "\\$") + "/")
+    write_json_lines(images.select("nombre_archivo", absolute.alias("ruta_original"), "histograma"), path)
 
 
 def insert_if_absent(df: DataFrame, path: str, key: str, order: str) -> dict[str, int]:
@@ -45,9 +48,9 @@ def insert_if_absent(df: DataFrame, path: str, key: str, order: str) -> dict[str
     held = _existing(spark, path)
     new = first if held is None else first.join(held.select(key).distinct(), key, "left_anti").select(*first.columns)
     total = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("k")).first()
-    before = 0 if held is None else held.count()
-    append(new, path)
-    inserted = spark.read.parquet(path).count() - before
+    written = Observation()
+    append(new.observe(written, F.count(F.lit(1)).alias("n")), path)
+    inserted = written.get["n"]
     return {"inserted": inserted, "ignored": total["k"] - inserted, "errors": total["n"] - total["k"]}
 
 
@@ -64,4 +67,20 @@ def export_matrix(centroids: DataFrame, path: str) -> None:
 
     from codewell.operators.quantize import codebook_matrix
 
-    np.save(path, codebook_matrix(centroids)[1])
+    matrix = codebook_matrix(centroids)[1]
+    partial = f"{path}.part"
+    with open(partial, "wb") as f:  # a failure leaves no half of a file under the name
+        np.save(f, matrix)
+    os.replace(partial, path)
+
+
+def write_files(spark: SparkSession, contents: dict[str, bytes], folder: str) -> None:
+    """A few small files, such as codebooks, by name into a folder of any file system the cluster knows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, content in contents.items():
+        path = jvm.org.apache.hadoop.fs.Path(folder, name)
+        out = path.getFileSystem(conf).create(path, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()

@@ -34,7 +34,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def write_image_lines(images: DataFrame, path: str) -> None:
     """Picture lines ``(nombre_archivo, ruta_original, histograma)``; relative paths are made absolute from the driver's folder."""
-    absolute = F.regexp_replace(F.col("ruta_original"), r"^(?![/\\]|[A-Za-z]:|[a-z]+:/)", os.getcwd().replace("\\", "\\\\").replace("$", "\\$") + "/")
+    absolute = F.regexp_replace(F.col("ruta_original"), r"^(?![/\\]|[A-Za-z]:|[a-z][a-z0-9+.-]*:/)", os.getcwd().replace("\\", "\\\\").replace("$", "\\$") + "/")
     write_json_lines(images.select("nombre_archivo", absolute.alias("ruta_original"), "histograma"), path)
 
 

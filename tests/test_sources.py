@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import wave
 
 import numpy as np
@@ -42,7 +43,12 @@ def test_image_lines(spark, tmp_path):
     ok, counts = readers.image_lines(spark, str(tmp_path / "v.jsonl"), 2)
     assert [r.histograma for r in ok.collect()] == [[1.0, 2.5]] and tuple(counts.first()) == (1, 2)
     writers.write_image_lines(ok, str(tmp_path / "out"))
-    assert readers.image_lines(spark, str(tmp_path / "out"), 2)[0].collect() == ok.collect()
+    back = readers.image_lines(spark, str(tmp_path / "out"), 2)[0].collect()
+    assert [(r.nombre_archivo, r.ruta_original, r.histograma) for r in back] == [("a.jpg", os.path.abspath("p"), [1.0, 2.5])]
+    paths = spark.createDataFrame([("a", p, [1.0]) for p in ("/r/a.jpg", "C:\\a.jpg", "\\\\h\\a.jpg", "s3://b/a.jpg", None)], "nombre_archivo string, ruta_original string, histograma array<double>")
+    writers.write_image_lines(paths, str(tmp_path / "kept"))
+    kept = {r.ruta_original for r in readers.image_lines(spark, str(tmp_path / "kept"), 1)[0].collect()}
+    assert kept == {"/r/a.jpg", "C:\\a.jpg", "\\\\h\\a.jpg", "s3://b/a.jpg", None}
 
 
 def test_audio_files_and_tags(spark, tmp_path):

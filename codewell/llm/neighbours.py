@@ -177,6 +177,9 @@ def _best(model: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_n
     by_id = np.empty(n, np.int64)
     by_id[order] = np.arange(n)  # breaks ties
     out = []
+    # with fewer members than codewords the tables would be larger than the answers: only entries of the members' own codes are
+    # made, for all sub-spaces in one product, which also adds them up
+    decoded = model.decode(codes.T) if n < model.books.shape[1] else None
 
     def exact(q: np.ndarray, r: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Similarities of pairs."""
@@ -193,8 +196,11 @@ def _best(model: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_n
         q, mine = unit_rows(queries["packed"].iloc[a : a + 128], dim), own[a : a + 128]
         single = q.astype(np.float32)
         sums = u[:, None] * (single @ direction)
-        for code, table in zip(codes, model.tables(single), strict=True):
-            sums += table[code]  # whole rows of the table
+        if decoded is not None:
+            sums += decoded @ single.T
+        else:
+            for code, table in zip(codes, model.tables(single), strict=True):
+                sums += table[code]  # whole rows of the table
         score = np.ascontiguousarray(sums.T) + spread
         inside = np.flatnonzero(mine >= 0)
         score[inside, mine[inside]] = -np.inf

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codewell.llm.tokens import encode_corpus
 from codewell.runtime import table
 
-#: Folder of the vocabulary files; a session setting or an environment variable may name another.
+#: Folder of the vocabulary files, which every executor must be able to read; a session setting may name another.
 SETTING, DEFAULT = "spark.codewell.tokenizers", "/opt/tokenizers"
 
 

@@ -29,6 +29,8 @@ PATTERN = (
 _SHIFT = np.int64(1) << np.int64(32)
 #: A worker's word cache is emptied beyond this; it affects speed only.
 CACHE_WORDS = 400_000
+#: Verdicts of pairs remembered at most; beyond that they are settled anew.
+MOST_PAIRS = 4_000_000
 
 
 class SpeculativeBpe:
@@ -108,6 +110,8 @@ class SpeculativeBpe:
     def _compatible(self, pairs: np.ndarray) -> np.ndarray:
         """Verdict of each pair (left id << 32 | right id); unknown ones are settled by exact merging, once."""
         uniq = np.unique(pairs)
+        if len(self.known_pairs) > MOST_PAIRS:  # affects speed only
+            self.known_pairs, self.verdicts = self.known_pairs[:0], self.verdicts[:0]
         fresh = uniq[~np.isin(uniq, self.known_pairs, assume_unique=True)] if len(self.known_pairs) else uniq
         if len(fresh):
             said = np.empty(len(fresh), bool)

@@ -20,12 +20,10 @@ def loop(engine, lines: Iterable[str], top_k: int = 5) -> Iterable[str]:
 
 
 def main(path: str) -> None:
-    from pyspark.sql import SparkSession
-
     from codewell.api import TextSearch
+    from codewell.runtime import session
 
-    spark = SparkSession.builder.appName("codewell").getOrCreate()
-    engine = TextSearch(spark.read.parquet(path))
+    engine = TextSearch(session().read.parquet(path))
     for answer in loop(engine, sys.stdin):
         print(answer)
 

@@ -8,12 +8,38 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Settings of a session by environment variable, with the values used where it is unset.
+SETTINGS = {
+    "CODEWELL_MASTER": ("spark.master", "local[*]"), "CODEWELL_SHUFFLE_PARTITIONS": ("spark.sql.shuffle.partitions", "200"), "CODEWELL_DRIVER_MEMORY": ("spark.driver.memory", "4g"),
+    "CODEWELL_CHECKPOINTS": ("spark.checkpoint.dir", None), "CODEWELL_TOKENIZERS": ("spark.codewell.tokenizers", None),
+}
+DATA, DEFAULT_DATA = "CODEWELL_DATA", "data"
+
+
+def configuration(environ: Mapping[str, str] = os.environ, **settings: str) -> dict[str, str]:
+    """Settings of a session by environment variables and defaults; settings that are given win."""
+    found = {key: environ.get(variable) or default for variable, (key, default) in SETTINGS.items()}
+    fixed = {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.checkpoint.compress": "true"}
+    return {k: v for k, v in (fixed | found | settings).items() if v is not None}
+
+
+def session(name: str = "codewell", **settings: str) -> SparkSession:
+    """A session with this configuration."""
+    return SparkSession.builder.appName(name).config(map=configuration(**settings)).getOrCreate()
+
+
+def stored(spark: SparkSession, name: str, environ: Mapping[str, str] = os.environ) -> DataFrame:
+    """A relation of the store, whose folder an environment variable names."""
+    return table(spark, environ.get(DATA) or DEFAULT_DATA, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of a data directory; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -44,3 +44,11 @@ def test_checkpoints_go_when_out_of_use(spark):
 
 def test_scratch_folders_differ(spark):
     assert runtime.scratch(spark) != runtime.scratch(spark)
+
+
+def test_session_and_store_by_environment(spark, tmp_path):
+    assert runtime.configuration({})["spark.master"] == "local[*]" and "spark.checkpoint.dir" not in runtime.configuration({})
+    found = runtime.configuration({"CODEWELL_MASTER": "local[2]", "CODEWELL_CHECKPOINTS": "/shared"}, **{"spark.sql.shuffle.partitions": "7"})
+    assert (found["spark.master"], found["spark.checkpoint.dir"], found["spark.sql.shuffle.partitions"]) == ("local[2]", "/shared", "7")
+    spark.range(3).write.parquet(str(tmp_path / "things.parquet"))
+    assert runtime.stored(spark, "things", {"CODEWELL_DATA": str(tmp_path)}).count() == 3

@@ -43,11 +43,11 @@ def _hint(vector: DataFrame):
     return F.broadcast if vector.limit(QUERY_BROADCAST + 1).count() <= QUERY_BROADCAST else (lambda df: df)
 
 
-def _products(vector: DataFrame, held: DataFrame, keys: list[str], hint, scheme: str) -> DataFrame:
+def _products(vector: DataFrame, held: DataFrame, keys: list[str], hint) -> DataFrame:
     """``(query_id, *keys, dot, matched, first_pos)``: per joined row one product; what belongs to the query as a whole is joined
     after the sum."""
     asked = hint(vector.select("query_id", "term", "pos", (F.col("weight") * F.col("idf")).alias("_q")))
-    hit = held.withColumn("_w", weights.weight(F.col("tf"), F.lit(1.0), scheme)).join(asked, "term").select("query_id", *keys, "pos", (F.col("_q") * F.col("_w")).alias("part"))
+    hit = held.join(asked, "term").select("query_id", *keys, "pos", (F.col("_q") * F.col("_w")).alias("part"))
     return hit.groupBy("query_id", *keys).agg(F.sum("part").alias("dot"), F.count(F.lit(1)).alias("matched"), F.min("pos").alias("first_pos"))
 
 
@@ -65,7 +65,8 @@ def _rated(summed: DataFrame, vector: DataFrame, hint) -> DataFrame:
 def scores(vector: DataFrame, post: DataFrame, item_norms: DataFrame, scheme: str = weights.LOG10) -> DataFrame:
     """``(query_id, chunk_id, cosine, coverage, rank_key, first_pos)`` of every chunk that holds a query term."""
     hint = _hint(vector)
-    summed = _products(vector, post.select("term", "chunk_id", "tf"), ["chunk_id"], hint, scheme)
+    held = post.select("term", "chunk_id", weights.weight(F.col("tf"), F.lit(1.0), scheme).alias("_w"))
+    summed = _products(vector, held, ["chunk_id"], hint)
     return _rated(summed.join(item_norms.where("norm_value > 0"), "chunk_id"), vector, hint)
 
 
@@ -92,8 +93,10 @@ def batch_best(vector: DataFrame, post: DataFrame, item_norms: DataFrame, docume
     """
     hint = _hint(vector)
     held = post.select("term", "chunk_id", "tf").join(item_norms.where("norm_value > 0"), "chunk_id")
-    held = held.join(documents.select("chunk_id", "document_id").where("document_id is not null").distinct(), "chunk_id").repartition("document_id")
-    summed = _products(vector, held, ["document_id", "chunk_id", "norm_value"], hint, scheme)
+    held = held.join(documents.select("chunk_id", "document_id").where("document_id is not null").distinct(), "chunk_id")
+    # divided by the norm at once, so that the sum is grouped by whole numbers only
+    held = held.select("term", "document_id", "chunk_id", (weights.weight(F.col("tf"), F.lit(1.0), scheme) / F.col("norm_value")).alias("_w")).repartition("document_id")
+    summed = _products(vector, held, ["document_id", "chunk_id"], hint).withColumn("norm_value", F.lit(1.0))
     return _first_of_document(_rated(summed, vector, hint))
 
 

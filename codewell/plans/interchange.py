@@ -15,7 +15,7 @@ from codewell.functions.text import LINE_ENDS, tokens
 from codewell.operators import numbering, postings, quantize
 from codewell.plans.loading import _CENTROIDS, DIM, label_centroids
 from codewell.plans.retrieval import _CHUNKS, _LINES, _STORED, _TOKENS
-from codewell.runtime import scratch, table
+from codewell.runtime import scratch, spread, table
 from codewell.sources import features, formats, readers, writers
 
 #: Terms of the look-up in the sorted index.
@@ -145,7 +145,7 @@ def minibatch_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_chunks_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that holds a token as a chunk, densely numbered in document and line order."""
     lines = F.split("text", f"\r\n|[{LINE_ENDS}]", -1)
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(lines).alias("pos", "chunk"))
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.posexplode(lines).alias("pos", "chunk"))
     return numbering.number_rows(docs.where(F.size(tokens(F.col("chunk"))) > 0), ["doc_id", "pos"], "chunk_id").select("chunk_id", "doc_id", "pos", "chunk")
 
 

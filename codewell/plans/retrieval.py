@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codewell.functions.stem import stem_terms
 from codewell.functions.text import LINE_ENDS, SPACES, STOPWORDS, paragraphs, tokens
 from codewell.operators import numbering, postings, rank
-from codewell.runtime import cut, table
+from codewell.runtime import cut, spread, table
 
 #: Vocabulary cut, and the queries of the registered searches.
 TOP_TERMS = 5000
@@ -26,7 +26,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of all documents that hold a token, densely numbered in document and paragraph order."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
     parts = docs.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "chunk")).where(F.size(tokens(F.col("chunk"))) > 0)
     return numbering.number_rows(parts, ["doc_id", "pos"], "chunk_id").select("chunk_id", "doc_id", "pos", "chunk")
 

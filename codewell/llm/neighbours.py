@@ -243,16 +243,14 @@ def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100
     held = [keep(packed)]
     try:
         n = held[0].count()
-        twins = keep(copies(held[0], k + 1))
-        held.append(twins)
+        twins = cut(copies(held[0], k + 1))
         spare = twins.where(~F.array_contains("firsts", F.col("id")))
         base = held[0].join(spare.select("id"), "id", "left_anti") if twins.limit(1).count() else held[0]
         parts = next(p for p in range(min(parts, dim), 0, -1) if dim % p == 0)
         model = _trained(base, n, dim, parts)
         if model is None:
             return spark.createDataFrame([], f"{_ANSWER}, rank int")
-        indexed = keep(_index(base, model, dim))
-        held.append(indexed)
+        indexed = cut(_index(base, model, dim))  # two short byte strings a vector; what follows is planned without what was before
         first = keep(_ask_own(indexed, model, dim, k, probes, rerank, least))
         held.append(first)
         second = _ask_others(indexed, first.where("list >= 0").select("id", "packed", "list", "ring"), model, dim, k, rerank, least)

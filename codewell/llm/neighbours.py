@@ -176,13 +176,20 @@ def _best(model: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_n
     order = np.argsort(ids, kind="stable")
     by_id = np.empty(n, np.int64)
     by_id[order] = np.arange(n)  # breaks ties
-    out = []
+    out, room = [], np.empty((n, min(128, len(asked))), np.float32)
     # with fewer members than codewords the tables would be larger than the answers: only entries of the members' own codes are
     # made, for all sub-spaces in one product, which also adds them up
     decoded = model.decode(codes.T) if n < model.books.shape[1] else None
 
+    dense: list[np.ndarray] = []
+
     def exact(q: np.ndarray, r: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Similarities of pairs."""
+        """Similarities of pairs, entry by entry; where the pairs fill a quarter of their rows and columns, as one product of these."""
+        (rows, at), (cols, to) = np.unique(r, return_inverse=True), np.unique(m, return_inverse=True)
+        if len(rows) * len(cols) <= 4 * len(r):
+            if not dense:
+                dense.append(unit_rows(members["packed"], dim))
+            return np.round((q[rows] @ dense[0][cols].T)[at, to], 6)
         value = np.empty(len(r))
         for s in range(0, len(r), 20_000):
             p = slice(s, s + 20_000)
@@ -199,8 +206,9 @@ def _best(model: Quantizer, members: pd.DataFrame, queries: pd.DataFrame, list_n
         if decoded is not None:
             sums += decoded @ single.T
         else:
+            entries = room[:, : len(q)] if len(q) == room.shape[1] else np.empty((n, len(q)), np.float32)
             for code, table in zip(codes, model.tables(single), strict=True):
-                sums += table[code]  # whole rows of the table
+                sums += np.take(table, code, axis=0, out=entries, mode="clip")  # whole rows of the table
         score = np.ascontiguousarray(sums.T) + spread
         inside = np.flatnonzero(mine >= 0)
         score[inside, mine[inside]] = -np.inf

@@ -11,10 +11,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codewell.api import ImageSearch, TextSearch
 from codewell.functions.text import LINE_ENDS, tokens
+from codewell.functions.vectors import is_usable
 from codewell.operators import numbering, postings, quantize
-from codewell.plans.loading import _CENTROIDS, DIM, label_centroids
-from codewell.plans.retrieval import _CHUNKS, _LINES, _STORED, _TOKENS
+from codewell.plans.loading import _CENTROIDS, _ITEMS, _NEAR, DIM, label_centroids
+from codewell.plans.retrieval import _BOOK, _CHUNKS, _LINES, _STORED, _TOKENS, QUERY, _ask
 from codewell.runtime import scratch, spread, table
 from codewell.sources import features, formats, readers, writers
 
@@ -117,6 +119,38 @@ def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("word_id", "i", F.round("x", 6).alias("x"))
 
 
+def tagged(seconds_frames: int, **texts: str) -> bytes:
+    """A sound file: text frames of a tag, then so many silent frames of MPEG audio."""
+    body = b"".join(name.encode() + (len(t.encode()) + 1).to_bytes(4, "big") + b"\0\0\3" + t.encode() for name, t in texts.items())
+    head = b"ID3\x03\0\0" + bytes(len(body) >> 7 * k & 127 for k in (3, 2, 1, 0)) + body if texts else b""
+    return head + (b"\xff\xfb\x90\x00" + bytes(413)) * seconds_frames
+
+
+def tagged_audio_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound files in folders with their tags and durations; other files are left alone."""
+    path = scratch(spark)
+    files = {"a.mp3": tagged(10, TIT2="Canción", TPE1="Ana; Luis", TALB="Uno", TRCK="3/12"), "deep/b.mp3": tagged(5), "c.mp3": b"noise", "d.txt": b"no sound"}
+    writers.write_files(spark, files, path)
+    return readers.audio_files(spark, path).select("filename", "file_size", "title", "collaborators", "album", "track_number", F.round("duration_seconds", 6).alias("duration_seconds"))
+
+
+def text_facade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query through the search facade."""
+    hits = TextSearch(table(spark, sf_dir, "metadata")).search(QUERY, 5)
+    rows = [(i, h.id, h.dataset_type, round(h.score, 6), h.metadata["title"], h.metadata["artist"]) for i, h in enumerate(hits, 1)]
+    return spark.createDataFrame(rows, "place int, id string, dataset_type string, score double, title string, artist string")
+
+
+def picture_facade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures like the first usable one through the search facade, with the stored path of each."""
+    images = table(spark, sf_dir, "fashion_images")
+    first = images.where(is_usable(F.col("histograma_visual"), DIM)).orderBy("id").select("histograma_visual").first()
+    engine = ImageSearch(images, dim=DIM)
+    hits = engine.search_vector(list(first[0]), 5) if first else []
+    rows = [(i, h.id, h.dataset_type, h.score, h.metadata["nombre_archivo"], h.metadata["ruta_original"]) for i, h in enumerate(hits, 1)]
+    return spark.createDataFrame(rows, "place int, id string, dataset_type string, score double, nombre_archivo string, ruta_original string")
+
+
 def tone(hz: float = 440.0, seconds: float = 1.0, rate: int = 44_100) -> bytes:
     """A tone as 16-bit mono WAV."""
     out = io.BytesIO()
@@ -151,7 +185,7 @@ def text_chunks_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     songs_csv_scan, picture_lines_scan, metadata_lines_scan, processed_lines_scan, json_dict_scan, sorted_index_lookup, offset_dictionary_scan, insert_if_absent_run,
-    append_refresh_run, matrix_scan, audio_frames, minibatch_codebook, text_chunks_by_line,
+    append_refresh_run, matrix_scan, audio_frames, minibatch_codebook, text_chunks_by_line, tagged_audio_scan, text_facade, picture_facade,
 )}
 
 # The tone's coefficients by an independent computation: the tone at 22.05 kHz by formula, direct transforms.
@@ -179,6 +213,14 @@ FROM c, e, (VALUES (0), (1)) AS t(run)""",
   SELECT w, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM (SELECT row_number() OVER (ORDER BY word_id) - 1 AS w, c FROM centroids))""",
     "audio_frames": f"""SELECT CAST(1 AS INTEGER) AS audio_id, CAST(f AS INTEGER) AS frame_no, CAST(c AS INTEGER) AS coefficient, CAST(x AS DOUBLE) AS x
 FROM range(4, 15) AS t(f), (VALUES {", ".join(f"({i}, {x})" for i, x in enumerate(_TONE))}) AS v(c, x)""",
+    "tagged_audio_scan": """SELECT * FROM (VALUES ('a.mp3', CAST(4248 AS BIGINT), 'Canción', 'Ana; Luis', 'Uno', CAST(3 AS INTEGER), CAST(0.261224 AS DOUBLE)),
+  ('b.mp3', 2085, NULL, NULL, NULL, NULL, 0.130612), ('c.mp3', 5, NULL, NULL, NULL, NULL, NULL))
+  AS t(filename, file_size, title, collaborators, album, track_number, duration_seconds)""",
+    "text_facade": _BOOK + _ask(QUERY) + """SELECT place, CAST(t.chunk_id AS VARCHAR) AS id, 'letra' AS dataset_type, round(rank_key, 6) AS score, title, artist
+FROM top t JOIN chunks c ON t.chunk_id = c.chunk_id WHERE place <= 5""",
+    "picture_facade": _ITEMS + ", asked AS (SELECT CAST(0 AS BIGINT) AS query_id, arg_min(v, id) AS q FROM usable)" + _NEAR
+    + """SELECT place, CAST(r.id AS VARCHAR) AS id, 'prenda' AS dataset_type, round(1 - distance, 4) AS score, nombre_archivo, ruta_original
+FROM ranked r JOIN fashion_images f ON r.id = f.id WHERE place <= 5""",
     "text_chunks_by_line": f"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS chunk, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {_LINES} AS l FROM documents WHERE text IS NOT NULL))

@@ -5,7 +5,8 @@ that bursts into a branch when it grows too large. A task sends each container o
 distinct terms per task, never occurrences. Containers of different tasks burst at different depths; a routing table of
 adaptive prefixes, made from the sizes per short prefix only, says to which subtree each of them belongs, and matching
 subtrees are merged per prefix. The work per route is bounded by the vocabulary below a prefix, not by how often a hot term
-occurs.
+occurs. Neither tries nor routes go deeper than ``DEEP`` letters, as drawn-out words ("lalala...") of any length share thousands:
+a container of that depth does not burst, and a route of that depth that is still too large is parted by the terms' hash.
 
 Defined results: NULL and blank texts count as no record with content; a record id written twice counts once (rows with
 a NULL id are dropped); a text without any term adds nothing but, unless it is blank, counts as a record; an empty table
@@ -15,9 +16,10 @@ gives an empty frame; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,21 +28,22 @@ from pyspark.sql import functions as F
 from codewell.runtime import cut, parallelism
 
 TERM = re.compile("[a-z]+")
-#: Letters by which routes are refined at a time, and terms after which a task sends its trie and begins another.
-STEP, FLUSH = 3, 1_000_000
+#: Letters by which routes are refined at a time, terms after which a task sends its trie and begins another, and letters down to
+#: which containers burst and routes are refined.
+STEP, FLUSH, DEEP = 3, 1_000_000, 30
 _TOTAL = "#"  # the route of the record counter; no term begins with it
 
 
 class BurstTrie:
-    """Occurrence and record counters per term; containers of more than ``burst`` suffixes become branches.
+    """Occurrence and record counters per term; containers of more than ``burst`` suffixes become branches, down to DEEP letters.
 
     A container maps suffixes to places in two compact arrays of counters that the whole trie shares.
     """
 
-    __slots__ = ("branches", "burst", "occurrences", "places", "records")
+    __slots__ = ("branches", "burst", "depth", "occurrences", "places", "records")
 
     def __init__(self, burst: int = 512, parent: BurstTrie | None = None):
-        self.burst = burst
+        self.burst, self.depth = burst, 0 if parent is None else parent.depth + 1
         self.occurrences, self.records = (array("q"), array("q")) if parent is None else (parent.occurrences, parent.records)
         self.places: dict[str, int] = {}
         self.branches: dict[str, BurstTrie] | None = None
@@ -58,7 +61,7 @@ class BurstTrie:
             node.places[suffix] = len(self.occurrences)
             self.occurrences.append(occurrences)
             self.records.append(records)
-            if node.branches is None and len(node.places) > node.burst:
+            if node.branches is None and node._too_large():
                 node._split()
         else:
             self.occurrences[place] += occurrences
@@ -74,6 +77,9 @@ class BurstTrie:
             node, at = child, at + 1
         return node, len(suffix) - at
 
+    def _too_large(self) -> bool:
+        return len(self.places) > self.burst and self.depth < DEEP
+
     def _split(self) -> None:
         """Burst: the container keeps only the term that ends here."""
         whole, self.places, self.branches = self.places, {}, {}
@@ -81,7 +87,7 @@ class BurstTrie:
             node, left = self._down(suffix)
             node.places[suffix[len(suffix) - left :]] = place
         for child in self.branches.values():
-            if len(child.places) > child.burst:
+            if child._too_large():
                 child._split()
 
     def containers(self, prefix: str = "") -> Iterator[tuple[str, dict[str, list[int]]]]:
@@ -98,13 +104,25 @@ class BurstTrie:
                 yield prefix + suffix, occurrences, records
 
 
+def _shared(a: str, b: str) -> int:
+    """Letters that two terms share from the beginning."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
 def pack(terms: dict[str, list[int]]) -> str:
     """A container as text: sorted, each term by the length shared with the one before and its rest."""
     out, last = [], ""
     for term in sorted(terms):
-        k, most = 0, min(len(term), len(last))
-        while k < most and term[k] == last[k]:
-            k += 1
+        k = _shared(term, last)
         out.append(f"{k}{term[k:]} {terms[term][0]} {terms[term][1]}")
         last = term
     return "\n".join(out)
@@ -159,7 +177,7 @@ def adaptive_routes(sizes: list[tuple[str, int]], budget: int) -> frozenset[str]
     return frozenset(p for p in total if all(total[p[:d]] > budget for d in range(len(p))))
 
 
-def route_of(term: str, routes: frozenset[str]) -> str:
+def route_of(term: str, routes: Container[str]) -> str:
     """The longest route that is a prefix of the term."""
     depth = 0
     while depth < len(term) and term[: depth + 1] in routes:  # with a route all its prefixes are routes
@@ -167,15 +185,16 @@ def route_of(term: str, routes: frozenset[str]) -> str:
     return term[:depth]
 
 
-def _routes(trees: DataFrame, budget: int) -> frozenset[str]:
-    """Adaptive routes of any depth over packed containers ``(prefix, payload)``.
+def _routes(trees: DataFrame, budget: int) -> dict[str, int]:
+    """Adaptive routes over packed containers ``(prefix, payload)`` with the number of parts of each: one, but for a route of DEEP
+    letters that holds more than ``budget`` entries.
 
     The driver sees entries per prefix of STEP letters, then STEP letters further below each prefix that is still too large, and
-    so on: at most 27 ** STEP numbers for every ``budget`` entries. Deep containers are counted unopened.
+    so on down to DEEP: at most 27 ** STEP numbers for every ``budget`` entries. Deep containers are counted unopened.
     """
     found: list[tuple[str, int]] = []
     depth, below = STEP, frozenset([""])
-    while below:
+    while below and depth <= DEEP:
 
         def count(batches: Iterator[pd.DataFrame], depth: int = depth, below: frozenset[str] = below) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -189,10 +208,11 @@ def _routes(trees: DataFrame, budget: int) -> frozenset[str]:
                 yield pd.DataFrame({"prefix": list(sizes), "n": list(sizes.values())}, dtype=object)
 
         rows = [tuple(r) for r in trees.mapInPandas(count, "prefix string, n long").groupBy("prefix").agg(F.sum("n")).collect()]
-        below = frozenset(p for p, n in rows if len(p) == depth and n > budget)
+        below = frozenset(p for p, n in rows if len(p) == depth and n > budget) if depth < DEEP else frozenset()
         found += [(p, n) for p, n in rows if p not in below]
         depth += STEP
-    return adaptive_routes(found, budget)
+    sizes = {p: n for p, n in found if len(p) == DEEP}
+    return {r: -(-sizes.get(r, 1) // budget) for r in adaptive_routes(found, budget)}
 
 
 def count_terms(texts: DataFrame, ident: str = "chunk_id", text: str = "text", budget: int = 20_000) -> tuple[DataFrame, DataFrame]:
@@ -206,20 +226,21 @@ def count_terms(texts: DataFrame, ident: str = "chunk_id", text: str = "text", b
     packed = cut(once.select("text").mapInPandas(_count_texts, "prefix string, n long, payload string"))
     trees = packed.where(F.col("prefix") != _TOTAL)
     routes = _routes(trees.select("prefix", "payload"), budget)
-    ends = routes - {r[:-1] for r in routes if r}
+    ends = {r for r in routes.keys() - {r[:-1] for r in routes if r} if routes[r] == 1}
 
     def reroute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for prefix, payload in zip(batch["prefix"], batch["payload"], strict=True):
                 if route_of(prefix, routes) in ends:  # the whole container belongs to one route
-                    rows.append((route_of(prefix, routes), payload))
+                    rows.append((route_of(prefix, routes), 0, payload))
                     continue
-                parts: dict[str, dict[str, list[int]]] = {}
+                parts: dict[tuple[str, int], dict[str, list[int]]] = {}
                 for term, o, n in unpack(payload):
-                    parts.setdefault(route_of(term, routes), {})[term] = [o, n]
-                rows += [(r, pack(t)) for r, t in parts.items()]
-            yield pd.DataFrame(rows, columns=["route", "payload"], dtype=object)
+                    route = route_of(term, routes)
+                    parts.setdefault((route, zlib.crc32(term.encode()) % routes[route]), {})[term] = [o, n]
+                rows += [(r, part, pack(t)) for (r, part), t in parts.items()]
+            yield pd.DataFrame(rows, columns=["route", "part", "payload"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         trie = BurstTrie()
@@ -228,8 +249,8 @@ def count_terms(texts: DataFrame, ident: str = "chunk_id", text: str = "text", b
                 trie.add(*entry)
         return pd.DataFrame(list(trie.terms()), columns=["term", "occurrences", "records"])
 
-    routed = trees.mapInPandas(reroute, "route string, payload string")
-    terms = routed.repartition(parallelism(spark), "route").groupBy("route").applyInPandas(merge, "term string, occurrences long, records long")
+    routed = trees.mapInPandas(reroute, "route string, part int, payload string")
+    terms = routed.repartition(parallelism(spark), "route", "part").groupBy("route", "part").applyInPandas(merge, "term string, occurrences long, records long")
     n_records = packed.where(F.col("prefix") == _TOTAL).select(
         F.coalesce(F.sum(F.split("payload", " ")[1].cast("long")), F.lit(0)).alias("n_records")
     )

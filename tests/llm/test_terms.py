@@ -63,3 +63,19 @@ def test_hot_prefix_is_refined_and_tries_are_flushed(spark, monkeypatch):
     got = {r.term: r.occurrences for r in terms.count_terms(df, budget=60)[0].collect()}
     assert got == dict(Counter(words))
     assert max(map(len, seen[0])) > 4 and all(r[:-1] in seen[0] for r in seen[0] if r)
+
+
+def test_drawn_out_words_need_no_depth(spark):
+    """More drawn-out words than a container holds, each the beginning of the next: no recursion by letter, few passes for routes."""
+    words = ["la" * n for n in range(300, 1100)] + ["na" * n for n in range(1, 30)]
+    trie = BurstTrie()
+    for w in words:
+        trie.add(w, 1, 1)
+    assert {t for t, _, _ in trie.terms()} == set(words)
+    rows = [(i, " ".join(words[k::80])) for i, k in enumerate([*range(80), *range(40)])]
+    df = spark.createDataFrame(rows, "chunk_id int, text string").repartition(3)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {r.term: (r.occurrences, r.records) for r in count_terms(df, budget=100)[0].collect()}
+    counts = Counter(w for _, t in rows for w in t.split())
+    assert got == {w: (n, n) for w, n in counts.items()}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 40

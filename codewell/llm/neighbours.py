@@ -41,7 +41,7 @@ TRAIN, LIST, TOP, SUB, BLOCK = 10_000, 200, 1024, 4096, 2000
 #: Members within so many standard errors of the tables below the k-th best are reranked, too.
 MARGIN = 2.5
 #: Inner product with the direction that parts near members from far ones, and the reach of residuals (1 makes the bound exact).
-NEAR, REACH = 0.6, 0.8
+NEAR, REACH = 0.6, 0.9
 _ANSWER = "id string, other string, similarity double"
 _MIXED = ("id", "other", "similarity", "packed", "list", "ring")
 
@@ -101,12 +101,13 @@ class Quantizer:
         return (self.top[t] + self.sub[s]) * self.scale[t, s][:, None]
 
     def foremost(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """The lists of greatest inner product, best first, and these products; lists of the four foremost directions are seen."""
+        """The lists of greatest inner product, best first, and these products; lists of as many foremost directions are seen, of
+        four at least."""
         inner = x @ self.top.T
         if len(self.sub) == 1:
             lists, score = np.broadcast_to(np.arange(len(self.top)), inner.shape), inner
         else:
-            t = np.argsort(-inner, axis=1)[:, :4]
+            t = np.argsort(-inner, axis=1)[:, : max(4, probes)]  # else a garment whose pictures share more directions is cut off
             score = ((np.take_along_axis(inner, t, 1)[:, :, None] + (x @ self.sub.T)[:, None, :]) * self.scale[t]).reshape(len(x), -1)
             lists = (t[:, :, None] * len(self.sub) + np.arange(len(self.sub))).reshape(len(x), -1)
         if probes < score.shape[1]:
@@ -244,7 +245,7 @@ def _bound(a: np.ndarray, low: float, high: float) -> np.ndarray:
     return a * u + side * np.sqrt(1 - u * u)
 
 
-def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100, probes: int = 12, rerank: int = 20, least: float = -1.0) -> DataFrame:
+def nearest_neighbours(packed: DataFrame, dim: int, k: int = 5, parts: int = 100, probes: int = 24, rerank: int = 20, least: float = -1.0) -> DataFrame:
     """``(id, other, similarity, rank)``: the k most similar others of every vector of ``(id, packed)``, those of a similarity
     of at least ``least``, which also bounds what is searched."""
     spark = packed.sparkSession
@@ -346,10 +347,11 @@ def _ask_own(indexed: DataFrame, model, dim: int, k: int, probes: int, rerank: i
             last = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) == k - 1)
             kth[r[last]] = value[last]
             goal = np.maximum(kth, least)
-            for a in range(0, len(queries), 2000):
-                lists, inner = quantizer.foremost(unit_rows(packed[a : a + 2000], dim, "float32"), probes)
+            step = min(2000, max(1, 4_000_000 // (max(4, probes) * len(quantizer.sub) + len(quantizer.top))))
+            for a in range(0, len(queries), step):
+                lists, inner = quantizer.foremost(unit_rows(packed[a : a + step], dim, "float32"), probes)
                 for ring, (low, high) in enumerate(((NEAR, 1.0), (-1.0, NEAR))):
-                    q, place = np.nonzero((_bound(inner.astype(np.float64), low, high) >= goal[a : a + 2000, None]) & (lists != list_no))
+                    q, place = np.nonzero((_bound(inner.astype(np.float64), low, high) >= goal[a : a + step, None]) & (lists != list_no))
                     for column, part in zip(out, (ids[a + q], np.full(len(q), None), np.full(len(q), np.nan), packed[a + q], lists[q, place], np.full(len(q), ring)), strict=True):
                         column.append(part)
         columns = [np.concatenate(c) for c in out]

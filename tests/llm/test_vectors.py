@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from codewell.llm.clusters import cluster
-from codewell.llm.neighbours import nearest_neighbours
+from codewell.llm.neighbours import Quantizer, nearest_neighbours
 from codewell.llm.vectors import one_per_item, pack_usable, unit_rows
 
 DIM = 60
@@ -214,3 +214,17 @@ def test_leaders_of_buckets():
 
     bucket, sketch = np.array([0, 0, 0, 0, 1, 1]), [np.array([5, 6, 6, 9, 5, 7]), np.array([1, 2, 3, 3, 1, 4])]
     assert _leaders(bucket, sketch).tolist() == [0, 1, 1, 1, 4, 5]
+
+
+def test_lists_of_many_directions_are_asked():
+    """With offsets the foremost lists are those of all directions, not of four."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.sqrt((v * v).sum(1, keepdims=True))
+    top, sub = unit(rng.normal(size=(40, 16))), rng.normal(size=(3, 16)) * 0.05
+    model = Quantizer(top, sub, np.zeros((4, 1, 4)))
+    x = unit(rng.normal(size=(50, 16)))
+    lists, inner = model.foremost(x, 24)
+    every = x @ model.direction(np.arange(120)).T
+    best = np.sort(every, axis=1)[:, ::-1][:, :24]
+    assert lists.shape == (50, 24) and np.allclose(inner, np.take_along_axis(every, lists, 1))
+    assert np.abs(inner - best).max() < 1e-9

@@ -228,3 +228,21 @@ def test_lists_of_many_directions_are_asked():
     best = np.sort(every, axis=1)[:, ::-1][:, :24]
     assert lists.shape == (50, 24) and np.allclose(inner, np.take_along_axis(every, lists, 1))
     assert np.abs(inner - best).max() < 1e-9
+
+
+def test_pairs_near_the_jaccard_bound_are_linked(spark):
+    """Pairs of sets with a Jaccard similarity of 3/7; and the foremost row of a bucket that shares a value itself."""
+    import codewell.llm.clusters as c
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(300):
+        at = rng.permutation(1000)[:28]
+        for name, mine in (("a", at[:20]), ("b", at[8:])):
+            v = np.zeros(1000)
+            v[mine] = 1
+            rows.append((f"{k:03}{name}", v.tolist()))
+    packed = pack_usable(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", 1000)
+    edges = {tuple(sorted((r.a, r.b))) for r in c.similar_edges(packed, 1000).collect()}
+    assert sum((f"{k:03}a", f"{k:03}b") in edges for k in range(300)) >= 0.95 * 300
+    assert c._sharers(np.array([0, 0, 0, 1]), np.array([5, 6, 5, 5])).tolist() == [0, 1, 0, 3]
